@@ -33,15 +33,25 @@ def _hex_pair(high: Column, low: Column) -> Column:
     return F.lower(F.hex(high * 256 + low))
 
 
-def _v6_groups(ip: Column) -> Column:
-    """Eight ints, with ``::`` filled up by zeros."""
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once per row."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _dotted_tail_as_hex(ip: Column) -> Column:
     tail = F.regexp_extract(ip, r"([0-9.]+)\z", 1)
-    o = _octets(tail)
-    as_hex = F.concat(
-        F.regexp_replace(ip, r"[0-9.]+\z", ""),
-        _hex_pair(F.get(o, 0), F.get(o, 1)), F.lit(":"), _hex_pair(F.get(o, 2), F.get(o, 3)),
-    )
-    text = F.when(ip.contains(".") & tail.rlike(IPV4), as_hex).otherwise(ip)
+
+    def rewritten(o: Column) -> Column:
+        return F.concat(
+            F.regexp_replace(ip, r"[0-9.]+\z", ""),
+            _hex_pair(F.get(o, 0), F.get(o, 1)), F.lit(":"), _hex_pair(F.get(o, 2), F.get(o, 3)),
+        )
+
+    return F.when(ip.contains(".") & tail.rlike(IPV4), _let(_octets(tail), rewritten)).otherwise(ip)
+
+
+def _groups(text: Column) -> Column:
+    """Eight ints of an IPv6 text, with ``::`` filled up by zeros; null if it is none."""
 
     def ints(part: Column) -> Column:
         found = F.filter(F.split(part, ":"), lambda g: g != "")
@@ -51,9 +61,28 @@ def _v6_groups(ip: Column) -> Column:
     right = F.when(text.contains("::"), ints(F.substring_index(text, "::", -1))).otherwise(
         F.array().cast("array<int>")
     )
-    gap = F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right))
-    groups = F.concat(left, F.array_repeat(F.lit(0), gap), right)
-    return F.when(text.rlike(IPV6) & (F.size(groups) == 8), groups)
+
+    def filled(sides: Column) -> Column:
+        gap = F.greatest(F.lit(0), F.lit(8) - F.size(sides["l"]) - F.size(sides["r"]))
+        return F.concat(sides["l"], F.array_repeat(F.lit(0), gap), sides["r"])
+
+    return F.when(text.rlike(IPV6), _let(F.struct(left.alias("l"), right.alias("r")), filled))
+
+
+def _private_v6(g: Column) -> Column:
+    def bits(i: int, mask: int) -> Column:
+        return F.get(g, i).bitwiseAND(mask)
+
+    mapped = F.concat_ws(":", F.slice(g, 1, 6)) == "0:0:0:0:0:65535"
+    inner = F.array(F.shiftright(F.get(g, 6), 8), bits(6, 255), F.shiftright(F.get(g, 7), 8), bits(7, 255))
+    return (
+        F.when(F.size(g) != 8, F.lit(None).cast("boolean"))
+        .when(mapped, _let(inner, _private_v4))
+        .otherwise(
+            (F.concat_ws(":", g) == "0:0:0:0:0:0:0:1")
+            | (bits(0, 0xFE00) == 0xFC00) | (bits(0, 0xFFC0) == 0xFE80) | (F.get(g, 0) >= 0xFF00)
+        )
+    )
 
 
 def ip_is_private(ip: Column) -> Column:
@@ -61,23 +90,13 @@ def ip_is_private(ip: Column) -> Column:
 
     ``::``, 100.64/10 and 192.0.2/24 count as public, as in the policy this follows.
     """
-    text = F.lower(F.trim(ip))
-    g = _v6_groups(text)
-    mapped = (F.concat_ws(":", F.slice(g, 1, 6)) == "0:0:0:0:0:65535")
-    v4_of_mapped = F.array(
-        F.shiftright(F.get(g, 6), 8), F.get(g, 6).bitwiseAND(255),
-        F.shiftright(F.get(g, 7), 8), F.get(g, 7).bitwiseAND(255),
-    )
-    private_v6 = (
-        (F.concat_ws(":", g) == "0:0:0:0:0:0:0:1")
-        | (F.get(g, 0).bitwiseAND(0xFE00) == 0xFC00)
-        | (F.get(g, 0).bitwiseAND(0xFFC0) == 0xFE80)
-        | (F.get(g, 0) >= 0xFF00)
-    )
-    return (
-        F.when(text.rlike(IPV4), _private_v4(_octets(text)))
-        .when(text.contains(":") & g.isNotNull(), F.when(mapped, _private_v4(v4_of_mapped)).otherwise(private_v6))
-    )
+
+    def judged(text: Column) -> Column:
+        return F.when(text.rlike(IPV4), _let(_octets(text), _private_v4)).when(
+            text.contains(":"), _let(_let(_dotted_tail_as_hex(text), _groups), _private_v6)
+        )
+
+    return _let(F.lower(F.trim(ip)), judged)
 
 
 def is_ip_literal(host: Column) -> Column:

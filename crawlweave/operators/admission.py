@@ -90,13 +90,14 @@ def dns_guard(df: DataFrame, resolutions: DataFrame, allow_private: bool = False
     bad_ip = F.coalesce(
         F.when(is_ip_literal(F.col("host")) & ip_is_private(F.col("host")), F.col("host")), F.col("private_ip")
     )
-    blocked = code.isNull() & bad_ip.isNotNull()
+    blocked = code.isNull() & F.col("_bad_ip").isNotNull()
     return (
         df.join(private_hosts(resolutions), "host", "left")
+        .withColumn("_bad_ip", bad_ip)
         .select(
             *keep,
             F.when(blocked, "ssrf_blocked").otherwise(code).alias("error_code"),
-            F.when(blocked, F.concat("host", F.lit(" resolves to "), bad_ip)).otherwise(detail).alias("error_detail"),
+            F.when(blocked, F.concat("host", F.lit(" resolves to "), "_bad_ip")).otherwise(detail).alias("error_detail"),
         )
     )
 
