@@ -186,6 +186,14 @@ def table_sql(d: Dialect) -> dict[str, str]:
             select request_id, ts, host, cast(20 + (request_id * 131) % 4000 as int) as latency_ms,
                    case when event_type = 'error' then 'fetch_failed' end as error_code
             from visits""",
+        "coded": """
+            select event_id as request_id,
+                   case event_id % 18 when 0 then 'url_required' when 1 then 'invalid_url' when 2 then 'scheme_not_allowed' when 3 then 'ssrf_blocked'
+                     when 4 then 'localhost_blocked' when 5 then 'robots_disallowed' when 6 then 'robots_forbidden' when 7 then 'content_too_large'
+                     when 8 then 'image_too_large' when 9 then 'timeout' when 10 then 'too_many_redirects' when 11 then 'fetch_failed'
+                     when 12 then 'http_client_error' when 13 then 'http_server_error' when 14 then 'extraction_failed' when 15 then 'no_content' end as error_code,
+                   case event_id % 4 when 0 then 'detail ' || cast(event_id as string) when 1 then '' end as error_detail
+            from events""",
         # arrivals squeezed from thirty days into about twenty minutes, as microseconds
         "arrivals": f"""
             select request_id, host, {d.idiv(_epoch(d), '2000')} as arrival_us from visits""",

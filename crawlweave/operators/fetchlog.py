@@ -61,7 +61,7 @@ def retry_outcome(fetch_log: DataFrame, max_retries: int = DEFAULTS.max_retries,
 
 def backoff_us(attempt: Column, base_ms: int, cap_ms: int) -> Column:
     """Wait after an attempt: doubled each time up to the cap, less one eighth."""
-    doubled = F.shiftleft(F.lit(base_ms * 1000).cast("bigint"), F.least(attempt, F.lit(30)).cast("int"))
+    doubled = F.call_function("shiftleft", F.lit(base_ms * 1000).cast("bigint"), F.least(attempt, F.lit(30)).cast("int"))
     held = F.least(doubled, F.lit(cap_ms * 1000).cast("bigint"))
     return held - F.call_function("div", held, F.lit(8))
 
@@ -98,35 +98,53 @@ def error_messages(df: DataFrame) -> DataFrame:
 
 def redirect_chains(urls: DataFrame, hops: DataFrame, resolutions: DataFrame | None = None,
                     blocked_hosts: DataFrame | None = None, max_redirects: int = DEFAULTS.max_redirects) -> DataFrame:
-    """Follow hops from each distinct ``url``: final_url, n_redirects, error_code.
+    """Follow hops from each distinct ``url``: final_url, n_redirects, error_code, error_detail.
 
-    The number of joins is fixed by ``max_redirects``; only rows still moving are joined. The
-    target of every hop is guarded once, before the first join.
+    The chains are resolved on the hop table, with ``max_redirects`` self-joins, and the URLs,
+    most of which do not redirect, are joined once. Every hop target is guarded first.
     """
-    targets = hops.groupBy("url").agg(F.min("location").alias("_to"))
-    guarded = url_guard(targets.select("url", "_to"), blocked_hosts=blocked_hosts, url="_to")
+    edges = hops.groupBy("url").agg(F.min("location").alias("_to"))
+    guarded = url_guard(edges, blocked_hosts=blocked_hosts, url="_to")
     if resolutions is not None:
         guarded = dns_guard(guarded, resolutions)
-    guarded = guarded.select(
-        F.col("url").alias("_at"), "_to", F.col("error_code").alias("_to_code"), F.col("error_detail").alias("_to_detail")
+    step = guarded.select(
+        F.col("url").alias("_key"), F.col("_to").alias("_next"),
+        F.col("error_code").alias("_code"), F.col("error_detail").alias("_detail"),
     )
-    moving = urls.select("url").distinct().withColumn("_at", F.col("url"))
-    done = None
-    for step in range(max_redirects + 1):
-        stepped = moving.join(guarded, "_at", "left")
-        stops = F.col("_to").isNull()
-        over = ~stops & F.lit(step == max_redirects)
-        failed = ~stops & (over | F.col("_to_code").isNotNull())
-        ended = stepped.where(stops | failed).select(
+    ok = F.col("_code").isNull()
+    chains = step.select(
+        F.col("_key").alias("url"),
+        F.when(ok, F.col("_next")).alias("_at"), F.when(ok, 1).otherwise(0).alias("n_redirects"),
+        ok.alias("_live"), F.col("_code").alias("error_code"), F.col("_detail").alias("error_detail"),
+    )
+    for taken in range(1, max_redirects + 1):
+        more = F.col("_live") & F.col("_next").isNotNull()
+        over = more & F.lit(taken == max_redirects)
+        refused = more & ~over & F.col("_code").isNotNull()
+        moves = more & ~over & F.col("_code").isNull()
+        # a finished chain gets a key of its own that no hop has, so finished rows spread evenly
+        key = F.when(F.col("_live"), F.col("_at")).otherwise(F.concat(F.lit("\x00"), F.col("url")))
+        chains = (
+            chains.withColumn("_key", key).join(step, "_key", "left")
+            .select(
+                "url",
+                F.when(moves, F.col("_next")).otherwise(F.col("_at")).alias("_at"),
+                (F.col("n_redirects") + moves.cast("int")).alias("n_redirects"),
+                moves.alias("_live"),
+                F.when(over, "too_many_redirects").when(refused, F.col("_code")).otherwise(F.col("error_code")).alias("error_code"),
+                F.when(over, f"exceeded {max_redirects} redirects").when(refused, F.col("_detail"))
+                .otherwise(F.col("error_detail")).alias("error_detail"),
+            )
+        )
+    return (
+        urls.select("url").distinct().join(chains, "url", "left")
+        .select(
             "url",
-            F.when(stops, F.col("_at")).alias("final_url"),
-            F.lit(step).alias("n_redirects"),
-            F.when(over, "too_many_redirects").when(failed, F.col("_to_code")).alias("error_code"),
-            F.when(over, f"exceeded {max_redirects} redirects").when(failed, F.col("_to_detail")).alias("error_detail"),
+            F.when(F.col("error_code").isNull(), F.coalesce("_at", "url")).alias("final_url"),
+            F.coalesce("n_redirects", F.lit(0)).alias("n_redirects"),
+            "error_code", "error_detail",
         )
-        done = ended if done is None else done.unionByName(ended)
-        moving = stepped.where(~stops & ~failed).select("url", F.col("_to").alias("_at"))
-    return done
+    )
 
 
 def outcome_metrics(outcomes: DataFrame, window: str = "10 minutes", exact: bool = False,
