@@ -156,9 +156,9 @@ def robots_lines_sql() -> list[tuple[str, str]]:
              from (select robots_id, host_key, i - 1 as line_no, split_part(ls[i], '#', 1) as line
                    from (select robots_id, host_key, ls, unnest(range(1, len(ls) + 1)) as i
                          from (select robots_id, host_key, string_split(body, chr(10)) as ls from robots_snapshots where status between 200 and 299)))"""),
-        ("rk", """select *, case when kind = 'user-agent' and coalesce(lag(kind) over (partition by robots_id order by line_no), '') <> 'user-agent' then 1 else 0 end as starts
+        ("rkind", """select *, case when kind = 'user-agent' and coalesce(lag(kind) over (partition by robots_id order by line_no), '') <> 'user-agent' then 1 else 0 end as starts
              from rl where kind in ('user-agent', 'allow', 'disallow')"""),
-        ("rg", "select *, sum(starts) over (partition by robots_id order by line_no) as group_no from rk"),
+        ("rg", "select *, sum(starts) over (partition by robots_id order by line_no) as group_no from rkind"),
         ("ra", "select robots_id, group_no, lower(value) as agent from rg where kind = 'user-agent' and group_no > 0"),
     ]
 

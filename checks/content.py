@@ -31,6 +31,7 @@ QUERIES = {
     "decode_entities": lambda s, d: table(s, d, "rich_pages").select(
         "page_id", decode_entities(F.concat("html", F.lit(" &#38;lt; &amp;lt; &#xD800; &#0; &nbsp;&hellip; &#128512;"))).alias("text")),
     "to_markdown": lambda s, d: markdown.to_markdown(extract.main_region(table(s, d, "rich_pages"))),
+    "extract_pages": lambda s, d: extract.extract_pages(table(s, d, "region_pages")).withColumn("images", F.size("images")),
     "raw_content": lambda s, d: extract.raw_content(
         table(s, d, "requests").select("request_id", "page_id", "raw"), _both_contents(s, d)),
     "image_refs": lambda s, d: extract.image_refs(extract.main_region(table(s, d, "image_pages")).select("page_id", "content")),
@@ -256,14 +257,15 @@ def markdown_sql(source: str) -> list[tuple[str, str]]:
                  || case when is_first then case when li_no > 0 then cast(li_no as string) || '. ' else '- ' end else '' end
                  || replace(case when in_pre then '```' || chr(10) || text || chr(10) || '```' when level > 0 then repeat('#', level) || ' ' || text else text end,
                             chr(10), chr(10) || quo || repeat('    ', cast(list_depth as int))) end as piece from m15"""),
-        ("md", f"select page_id, regexp_replace(string_agg(piece, '' order by block_no), '\\A[{WS}]+|[{WS}]+\\z', '', 'g') as markdown from m16 group by page_id"),
+        ("md", f"""select page_id, coalesce(markdown, '') as markdown from {source} left join
+            (select page_id, regexp_replace(string_agg(piece, '' order by block_no), '\\A[{WS}]+|[{WS}]+\\z', '', 'g') as markdown from m16 group by page_id) using (page_id)"""),
     ]
 
 
 def images_sql(source: str) -> list[tuple[str, str]]:
     attrs = _ATTRS.replace("raw", "t")
     return [
-        ("ia", f"""select * exclude (content, l), l from (select *, list_filter(list_transform(list_filter(regexp_extract_all(content, {q(TOKEN)}),
+        ("ia", f"""select * from (select *, list_filter(list_transform(list_filter(regexp_extract_all(content, {q(TOKEN)}),
             lambda t: regexp_matches(t, '(?i)\\A<img[{WS}/>]')),
             lambda t: {{'src': {attribute_flat(attrs, 'src')}, 'alt': coalesce({attribute_flat(attrs, 'alt')}, '')}}), lambda i: i.src is not null) as l from {source})"""),
         ("images", f"""select * exclude (l, i), i.src as src, i.alt as alt, {filename_sql('i.src')} as filename
@@ -295,6 +297,9 @@ ORACLES = {
          ("hb", f"select page_id, block_no, text, host from blocks join (select page_id, {HOST_OF} as host from pages) using (page_id)")]),
     "decode_entities": oracle(["rich_pages"], f"""select page_id, {decode("html || ' &#38;lt; &amp;lt; &#xD800; &#0; &nbsp;&hellip; &#128512;'")} as text from rich_pages"""),
     "to_markdown": oracle(["rich_pages"], "select * from md", [*region_sql("rich_pages"), *markdown_sql("region")]),
+    "extract_pages": oracle(["region_pages"], f"""select page_id, url, title, content, len(l) as images, source_rule, error_code, markdown
+        from ia join md using (page_id) join (select page_id, url, {title_sql('html')} as title from region_pages) using (page_id)""",
+        [*region_sql("region_pages"), *markdown_sql("region"), *images_sql("region")]),
     "raw_content": oracle(["requests"], """select request_id, page_id, raw, case when raw then content else markdown end as content,
         case when raw then 'raw' else 'markdown' end as content_type from requests join region using (page_id) join md using (page_id)""",
         [*region_sql("pages"), *markdown_sql("region")]),

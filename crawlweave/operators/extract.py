@@ -10,6 +10,8 @@ from crawlweave.functions.html import (
     tag_name, tokens, word_count,
 )
 from crawlweave.functions.urls import filename_from_url
+from crawlweave.operators.markdown import to_markdown
+from crawlweave.options import DEFAULTS
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
@@ -151,18 +153,20 @@ def region_candidates(pages: DataFrame) -> DataFrame:
     )
 
 
-def main_region(pages: DataFrame) -> DataFrame:
-    """``content`` (cleaned HTML), ``source_rule`` and ``error_code`` per page_id.
+def main_region(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``page_id``, the columns to keep, ``content`` (cleaned HTML), ``source_rule`` and ``error_code``.
 
     Pages marked up with article or main are done by tags and go through as one row. Others are
     cut into blocks, and texts that look like template are taken out; if that leaves nothing,
     the whole body stays. One shuffle, on the page, of the picked region.
     """
-    region = F.col("region")
-    pieces = F.when(F.col("rule") == "body", tokens(F.coalesce(region, F.lit("")))).otherwise(F.array(region))
+    region = F.coalesce("region", F.lit(""))
+    pieces = F.when(F.col("rule") == "body", tokens(region)).otherwise(F.array(region))
+    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(True))
     rows = (
-        region_candidates(pages.select("page_id", "html")).repartition("page_id")
-        .select("page_id", "rule", F.posexplode_outer(pieces).alias("idx", "_raw"))
+        region_candidates(pages.select("page_id", "html", *keep)).repartition("page_id")
+        .select("page_id", "rule", kept.alias("_keep"), F.posexplode(F.concat(F.array(F.lit("")), pieces)).alias("idx", "_raw"))
+        .withColumn("_keep", F.when(F.col("idx") == 0, F.col("_keep")))
     )
     on_page = Window.partitionBy("page_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     loose = F.col("rule") == "body"
@@ -179,6 +183,7 @@ def main_region(pages: DataFrame) -> DataFrame:
     )
     blocks = marked.groupBy("page_id", "_block").agg(
         F.first("rule").alias("rule"),
+        F.first("_keep", ignorenulls=True).alias("_keep"),
         F.sum("_words").alias("_n"),
         F.sum(F.when(F.col("_in_link"), F.col("_words")).otherwise(0)).alias("_n_link"),
         F.expr("listagg(_raw, '') within group (order by idx)").alias("_html"),
@@ -195,6 +200,7 @@ def main_region(pages: DataFrame) -> DataFrame:
     ).withColumn("_kept", F.when(F.coalesce("_good", F.lit(True)), F.col("_html")).otherwise(F.col("_frame")))
     picked = judged.groupBy("page_id").agg(
         F.first("rule").alias("rule"),
+        F.first("_keep", ignorenulls=True).alias("_keep"),
         F.bool_or(F.coalesce("_good", F.lit(False))).alias("_any"),
         F.expr("listagg(_html, '') within group (order by _block)").alias("_whole"),
         F.expr("listagg(_kept, '') within group (order by _block)").alias("_some"),
@@ -204,7 +210,7 @@ def main_region(pages: DataFrame) -> DataFrame:
     return (
         picked.withColumn("content", content)
         .select(
-            "page_id", "content",
+            "page_id", *[F.col("_keep")[c].alias(c) for c in keep], "content",
             F.when(by_blocks, "blocks").otherwise(F.col("rule")).alias("source_rule"),
             F.when(is_blank(F.col("content")), "no_content").alias("error_code"),
         )
@@ -243,3 +249,20 @@ def raw_content(requests: DataFrame, contents: DataFrame) -> DataFrame:
         F.when(F.col("raw"), F.col("content")).otherwise(F.col("markdown")).alias("content"),
         F.when(F.col("raw"), "raw").otherwise("markdown").alias("content_type"),
     )
+
+
+def extract_pages(pages: DataFrame, max_bytes: int = DEFAULTS.max_html_bytes) -> DataFrame:
+    """One row per page: url, title, content, markdown, images (array), source_rule, error_code.
+
+    Pages over the byte limit are never cut up. One scan and one shuffle, on the page.
+    """
+    too_large = F.octet_length("html") > max_bytes
+    sized = pages.select(
+        "page_id", "url", F.when(~too_large, F.col("html")).alias("html"),
+        F.coalesce(too_large, F.lit(False)).alias("too_large"),
+    ).withColumn("title", F.coalesce(title_of(F.col("html")), F.lit("")))
+    regions = main_region(sized, keep=("url", "title", "too_large"))
+    coded = regions.withColumn("images", image_array(F.col("content"))).withColumn(
+        "error_code", F.when(F.col("too_large"), "content_too_large").otherwise(F.col("error_code"))
+    ).drop("too_large")
+    return to_markdown(coded, keep=("url", "title", "content", "images", "source_rule", "error_code"))

@@ -96,12 +96,11 @@ def error_messages(df: DataFrame) -> DataFrame:
     )
 
 
-def redirect_chains(urls: DataFrame, hops: DataFrame, resolutions: DataFrame | None = None,
-                    blocked_hosts: DataFrame | None = None, max_redirects: int = DEFAULTS.max_redirects) -> DataFrame:
-    """Follow hops from each distinct ``url``: final_url, n_redirects, error_code, error_detail.
+def hop_chains(hops: DataFrame, resolutions: DataFrame | None = None, blocked_hosts: DataFrame | None = None,
+               max_redirects: int = DEFAULTS.max_redirects) -> DataFrame:
+    """Where each redirecting ``url`` ends: final_url, n_redirects, error_code, error_detail.
 
-    The chains are resolved on the hop table, with ``max_redirects`` self-joins, and the URLs,
-    most of which do not redirect, are joined once. Every hop target is guarded first.
+    ``max_redirects`` self-joins of the hop table; every hop target is guarded first.
     """
     edges = hops.groupBy("url").agg(F.min("location").alias("_to"))
     guarded = url_guard(edges, blocked_hosts=blocked_hosts, url="_to")
@@ -136,11 +135,24 @@ def redirect_chains(urls: DataFrame, hops: DataFrame, resolutions: DataFrame | N
                 .otherwise(F.col("error_detail")).alias("error_detail"),
             )
         )
+    return chains.select(
+        "url", F.when(F.col("error_code").isNull(), F.col("_at")).alias("final_url"), "n_redirects", "error_code", "error_detail"
+    )
+
+
+def redirect_chains(urls: DataFrame, hops: DataFrame, resolutions: DataFrame | None = None,
+                    blocked_hosts: DataFrame | None = None, max_redirects: int = DEFAULTS.max_redirects) -> DataFrame:
+    """Follow hops from each distinct ``url``; one without a hop is its own final URL.
+
+    Chains are worked out on the hop table alone, so the URLs, most of which do not redirect,
+    are joined once.
+    """
+    chains = hop_chains(hops, resolutions, blocked_hosts, max_redirects)
     return (
         urls.select("url").distinct().join(chains, "url", "left")
         .select(
             "url",
-            F.when(F.col("error_code").isNull(), F.coalesce("_at", "url")).alias("final_url"),
+            F.when(F.col("error_code").isNull(), F.coalesce("final_url", "url")).alias("final_url"),
             F.coalesce("n_redirects", F.lit(0)).alias("n_redirects"),
             "error_code", "error_detail",
         )

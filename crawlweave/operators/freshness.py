@@ -7,8 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlweave.durability import durable
 from crawlweave.functions.times import US_PER_S, epoch_us, floor_div
-from crawlweave.operators.ordered import durable, newest_within
+from crawlweave.operators.ordered import newest_within
 from crawlweave.options import DEFAULTS
 
 

@@ -73,10 +73,10 @@ def fit_dimensions(meta: DataFrame, max_w: int = DEFAULTS.image_max_width, max_h
 
     return meta.withColumn(
         "fit_width",
-        F.when(~outside, F.col("width")).when(by_width, F.lit(max_w)).otherwise(scaled(w, max_h, h)),
+        F.when(~outside | outside.isNull(), F.col("width")).when(by_width, F.lit(max_w)).otherwise(scaled(w, max_h, h)),
     ).withColumn(
         "fit_height",
-        F.when(~outside, F.col("height")).when(by_width, scaled(h, max_w, w)).otherwise(F.lit(max_h)),
+        F.when(~outside | outside.isNull(), F.col("height")).when(by_width, scaled(h, max_w, w)).otherwise(F.lit(max_h)),
     )
 
 

@@ -22,20 +22,25 @@ def _listagg(col: str, order: str) -> Column:
     return F.expr(f"listagg({col}, '') within group (order by {order})")
 
 
-def to_markdown(contents: DataFrame) -> DataFrame:
-    """``page_id, markdown`` for rows of ``page_id, content``; pages without text give an empty text."""
-    items = _items(_placed(_token_rows(contents)))
-    blocks = _blocks(_marked(items))
-    return _pages(blocks)
+def to_markdown(contents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``page_id``, the columns to keep, ``markdown``. Pages without text give an empty text.
 
+    Kept columns travel on one row per page, in front of its first token.
+    """
+    items = _items(_placed(_token_rows(contents, keep)))
+    pages = _pages(_blocks(_marked(items)))
+    return pages.select("page_id", *[F.col("_keep")[c].alias(c) for c in keep], "markdown")
 
-def _token_rows(contents: DataFrame) -> DataFrame:
+
+def _token_rows(contents: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     raw = F.col("_raw")
+    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(True))
+    content = F.coalesce("content", F.lit(""))
     return (
-        contents.select("page_id", "content").repartition("page_id")
-        .select("page_id", F.posexplode_outer(tokens(F.col("content"))).alias("idx", "_raw"))
+        contents.repartition("page_id").select("page_id", content.alias("content"), kept.alias("_keep"))
+        .select("page_id", "_keep", F.posexplode(F.concat(F.array(F.lit("")), tokens(F.col("content")))).alias("idx", "_raw"))
         .select(
-            "page_id", F.coalesce("idx", F.lit(0)).alias("idx"), F.coalesce(raw, F.lit("")).alias("raw"),
+            "page_id", "idx", F.when(F.col("idx") == 0, F.col("_keep")).alias("_keep"), raw.alias("raw"),
             F.when(is_tag(raw), tag_name(raw)).otherwise("").alias("tag"),
             F.when(is_tag(raw), F.when(raw.startswith("</"), -1).otherwise(1)).otherwise(0).alias("dir"),
         )
@@ -67,7 +72,7 @@ def _placed(rows: DataFrame) -> DataFrame:
         F.coalesce(F.last(F.when((tag == "table") & opens, F.col("idx")), ignorenulls=True).over(on_page), F.lit(-1)).alias("table_id"),
     )
     rows = rows.select(
-        "page_id", "idx", "raw", "tag", "dir", "row_id", "table_id",
+        "page_id", "idx", "_keep", "raw", "tag", "dir", "row_id", "table_id",
         F.when(F.col("row_id") >= 0, F.col("cell_id")).otherwise(-1).alias("cell_id"),
         clamped("_s_pre").alias("_pre"), clamped("_s_list").alias("list_depth"), clamped("_s_quote").alias("quote_depth"),
     )
@@ -91,7 +96,7 @@ def _placed(rows: DataFrame) -> DataFrame:
     ).withColumn("_li", F.last(F.when(is_item, F.col("idx")), ignorenulls=True).over(at_depth))
     inside = (F.col("list_depth") > 0) & (F.col("_li") > F.col("_list.idx")) & (F.col("cell_id") < 0)
     return rows.select(
-        "page_id", "idx", "raw", "tag", "dir", "row_id", "table_id", "cell_id", "quote_depth", "in_pre", "is_break", "block_no",
+        "page_id", "idx", "_keep", "raw", "tag", "dir", "row_id", "table_id", "cell_id", "quote_depth", "in_pre", "is_break", "block_no",
         F.when(inside, F.col("list_depth")).otherwise(0).alias("list_depth"),
         F.when(inside, F.col("_li")).otherwise(-1).alias("li_id"),
         F.when(inside, F.col("_list.idx")).otherwise(-1).alias("list_id"),
@@ -146,7 +151,7 @@ def _items(rows: DataFrame) -> DataFrame:
                     text.alias("text"))
         .where("text IS NOT NULL")
         .select(
-            "page_id", "block_no", "idx", "text",
+            "page_id", "block_no", "idx", "_keep", "text",
             (~F.col("in_pre") & ~is_blank(F.regexp_replace("text", _BR, ""))).alias("solid"),
             F.when(linked, F.col("_link.id")).otherwise(-1).alias("link_id"), F.col("_link.href").alias("href"),
             "bold", "ital", "code",
@@ -194,12 +199,13 @@ def _marked(items: DataFrame) -> DataFrame:
     )
     return (
         items.select("*", F.lag(state).over(run).alias("_prev"), F.lead(state).over(run).alias("_next"))
-        .select("page_id", "block_no", "idx", "at", F.when(F.col("solid"), piece).otherwise(F.col("text")).alias("piece"))
+        .select("page_id", "block_no", "idx", "_keep", "at", F.when(F.col("solid"), piece).otherwise(F.col("text")).alias("piece"))
     )
 
 
 def _blocks(items: DataFrame) -> DataFrame:
-    grouped = items.groupBy("page_id", "block_no").agg(_listagg("piece", "idx").alias("_text"), F.min("at").alias("at"))
+    grouped = items.groupBy("page_id", "block_no").agg(_listagg("piece", "idx").alias("_text"), F.min("at").alias("at"),
+                                                  F.first("_keep", ignorenulls=True).alias("_keep"))
     flat = F.regexp_replace(collapse(F.col("_text")), rf"\A[ {_BR}]+|[ {_BR}]+\z", "")
     text = (
         F.when(F.col("at.in_pre"), F.regexp_replace("_text", rf"\A[\r\n]+|[{WS}]+\z", ""))
@@ -208,8 +214,8 @@ def _blocks(items: DataFrame) -> DataFrame:
         .otherwise(F.regexp_replace(flat, f" *{_BR} *", "  \n"))
     )
     return (
-        grouped.select("page_id", "block_no", text.alias("text"), "at.*")
-        .where("text <> '' OR cell_id >= 0")
+        grouped.select("page_id", "block_no", "_keep", text.alias("text"), "at.*")
+        .where("text <> '' OR cell_id >= 0 OR _keep IS NOT NULL")
     )
 
 
@@ -262,7 +268,8 @@ def _pages(blocks: DataFrame) -> DataFrame:
         F.when(in_row("_p"), "").otherwise(F.concat(quote, F.lit("| "))), F.col("text"),
         F.when(in_row("_n"), "").otherwise(F.concat(F.lit(" |"), rule_line)),
     )
-    written = blocks.select("page_id", "block_no", F.concat(sep, F.when(is_cell, cell).otherwise(plain)).alias("piece"))
+    written = blocks.select("page_id", "block_no", "_keep", F.concat(sep, F.when(is_cell, cell).otherwise(plain)).alias("piece"))
     return written.groupBy("page_id").agg(
-        F.regexp_replace(_listagg("piece", "block_no"), rf"\A[{WS}]+|[{WS}]+\z", "").alias("markdown")
+        F.first("_keep", ignorenulls=True).alias("_keep"),
+        F.regexp_replace(_listagg("piece", "block_no"), rf"\A[{WS}]+|[{WS}]+\z", "").alias("markdown"),
     )

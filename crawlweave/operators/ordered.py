@@ -12,20 +12,6 @@ from pyspark.sql import functions as F
 from crawlweave.functions.times import epoch_us, floor_div
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder the session names."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="crawlweave-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def numbered(df: DataFrame, key: str, order: str, tie: str, chunk_width: int) -> DataFrame:
     """Add ``n``: the 1-based rank of a row within its key, by the bigint ``order``, then ``tie``."""
     rows = df.withColumn("_chunk", floor_div(F.col(order), chunk_width))
