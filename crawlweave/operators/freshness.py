@@ -13,9 +13,10 @@ from crawlweave.operators.ordered import newest_within
 from crawlweave.options import DEFAULTS
 
 
-def fresh_snapshot(requests: DataFrame, snapshots: DataFrame, ttl_s: int = DEFAULTS.cache_ttl_s) -> DataFrame:
+def fresh_snapshot(requests: DataFrame, snapshots: DataFrame, ttl_s: int = DEFAULTS.cache_ttl_s,
+                   newest=newest_within) -> DataFrame:
     """Add ``snapshot_id``, ``age_us`` and ``cache_hit``; an entry is still good at exactly its TTL."""
-    found = newest_within(
+    found = newest(
         requests, snapshots, key="url_key", probe_ts="ts", mark_ts="fetched_at",
         mark_id="snapshot_id", ttl_us=ttl_s * US_PER_S,
     )

@@ -72,3 +72,32 @@ def newest_within(probes: DataFrame, marks: DataFrame, *, key: str, probe_ts: st
             F.when(fits, age).alias("age_us"),
         )
     )
+
+
+def newest_within_lookup(probes: DataFrame, marks: DataFrame, *, key: str, probe_ts: str, mark_ts: str,
+                         mark_id: str, ttl_us: int, strict: bool = False) -> DataFrame:
+    """``newest_within`` without a window over the probes, so that they may be a stream.
+
+    The marks of a chunk, and the last one of the chunk before, come as one sorted array per
+    (key, chunk); a probe joins its chunk's array and takes the last mark not after it. An array
+    holds the marks of one key within one TTL.
+    """
+    placed = marks.select(
+        F.col(key).alias("_key"), epoch_us(mark_ts).alias("_t"), F.col(mark_id).cast("bigint").alias("_mark")
+    ).withColumn("_chunk", floor_div(F.col("_t"), ttl_us))
+    carried = placed.groupBy("_key", "_chunk").agg(F.max(F.struct("_t", "_mark")).alias("_m")).select(
+        "_key", "_m._t", "_m._mark", (F.col("_chunk") + 1).alias("_chunk")
+    )
+    arrays = (
+        placed.unionByName(carried).groupBy("_key", "_chunk")
+        .agg(F.array_sort(F.collect_list(F.struct("_t", "_mark"))).alias("_marks"))
+    )
+    rows = probes.withColumn("_at", epoch_us(probe_ts)).withColumn("_chunk", floor_div(F.col("_at"), ttl_us))
+    seen = F.array_max(F.filter("_marks", lambda m: m["_t"] <= F.col("_at")))
+    age = F.col("_at") - F.col("_seen._t")
+    fits = (age < ttl_us) if strict else (age <= ttl_us)
+    return (
+        rows.withColumn("_key", F.col(key)).join(arrays, ["_key", "_chunk"], "left")
+        .withColumn("_seen", seen)
+        .select(*probes.columns, F.when(fits, F.col("_seen._mark")).alias(mark_id), F.when(fits, age).alias("age_us"))
+    )

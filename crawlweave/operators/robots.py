@@ -127,9 +127,10 @@ def rule_verdict(rules: Column, path: Column) -> Column:
     return F.when(F.coalesce(best["ok"], F.lit(True)), "allow").otherwise("disallow")
 
 
-def robots_asof(requests: DataFrame, snapshots: DataFrame, ttl_s: int = DEFAULTS.robots_ttl_s) -> DataFrame:
+def robots_asof(requests: DataFrame, snapshots: DataFrame, ttl_s: int = DEFAULTS.robots_ttl_s,
+                newest=newest_within) -> DataFrame:
     """Add ``robots_id`` of the newest snapshot of the request's host younger than the TTL."""
-    return newest_within(
+    return newest(
         requests, snapshots, key="host_key", probe_ts="ts", mark_ts="fetched_at", mark_id="robots_id",
         ttl_us=ttl_s * US_PER_S, strict=True,
     ).withColumnRenamed("age_us", "robots_age_us")

@@ -9,6 +9,7 @@ from crawlweave.operators.admission import dns_guard, url_guard, url_parts
 from crawlweave.operators.extract import extract_pages
 from crawlweave.operators.fetchlog import error_messages, hop_chains, retry_outcome
 from crawlweave.operators.freshness import fresh_snapshot
+from crawlweave.operators.ordered import newest_within
 from crawlweave.operators.output import format_results, paginate, remaining_images
 from crawlweave.operators.rate import rate_limit_admission
 from crawlweave.operators.requests import parse_requests, validate_requests, with_cache_key
@@ -60,19 +61,23 @@ def answers(requests: DataFrame, extracted: DataFrame) -> DataFrame:
     return error_messages(format_results(sliced)).select(*RESULT_COLUMNS)
 
 
-def fetch_flow(requests: DataFrame, pages: DataFrame, *, snapshots: DataFrame | None = None,
-               resolutions: DataFrame | None = None, robots_snapshots: DataFrame | None = None,
-               hops: DataFrame | None = None, fetch_log: DataFrame | None = None,
-               blocked_hosts: DataFrame | None = None, options: Options = DEFAULTS) -> DataFrame:
+def fetch_flow(requests: DataFrame, pages: DataFrame | None, *, extracted: DataFrame | None = None,
+               snapshots: DataFrame | None = None, resolutions: DataFrame | None = None,
+               robots_snapshots: DataFrame | None = None, hops: DataFrame | None = None,
+               fetch_log: DataFrame | None = None, blocked_hosts: DataFrame | None = None,
+               options: Options = DEFAULTS, newest=newest_within, limit=rate_limit_admission) -> DataFrame:
     """One answer or error per request.
 
     ``requests`` has request_id, ts and args (JSON). Every URL is guarded, also one that a stored
     snapshot could answer. A hit skips the rate limit, robots and the fetch outcome. Page texts
-    are worked out once per page and meet the narrow request rows in the last join.
+    are worked out once per page and meet the narrow request rows in the last join; pass ``extracted``
+    to use stored ones. ``newest`` and ``limit`` are the as-of join and the rate limit to use.
     """
+    if extracted is None:
+        extracted = extract_pages(pages, options.max_html_bytes)
     rows = admitted_requests(requests, resolutions, blocked_hosts, options)
     if snapshots is not None:
-        rows = fresh_snapshot(rows, snapshots, options.cache_ttl_s).drop("age_us")
+        rows = fresh_snapshot(rows, snapshots, options.cache_ttl_s, newest).drop("age_us")
         rows = rows.withColumn("from_cache", F.col("cache_hit") & F.col("error_code").isNull()).drop("cache_hit")
     else:
         rows = rows.withColumn("snapshot_id", F.lit(None).cast("bigint")).withColumn("from_cache", F.lit(False))
@@ -82,12 +87,12 @@ def fetch_flow(requests: DataFrame, pages: DataFrame, *, snapshots: DataFrame |
     rows = rows.withColumn(
         "rate_key", F.when(fetches, F.col("host")).otherwise(F.concat(F.lit("\x00"), F.col("request_id").cast("string")))
     )
-    rows = rate_limit_admission(
+    rows = limit(
         rows, options.rate_per_second, options.rate_burst, host="rate_key", ts="ts"
     ).drop("rate_key", "arrival_us", "wait_us")
 
     if robots_snapshots is not None:
-        rows = robots_asof(rows, robots_snapshots, options.robots_ttl_s).drop("robots_age_us")
+        rows = robots_asof(rows, robots_snapshots, options.robots_ttl_s, newest).drop("robots_age_us")
         asked = rows.withColumn("_ignore", F.col("ignore_robots"))
         asked = asked.withColumn("ignore_robots", F.col("_ignore") | F.col("error_code").isNotNull() | F.col("from_cache"))
         gated = robots_gate(asked, robots_snapshots, options.user_agent)
@@ -116,8 +121,7 @@ def fetch_flow(requests: DataFrame, pages: DataFrame, *, snapshots: DataFrame |
         rows = _fails(rows, ~F.col("from_cache") & F.col("_out_code").isNotNull(), F.col("_out_code"), F.col("_out_detail"))
         rows = rows.drop("_out_code", "_out_detail")
 
-    rows = _with_page(rows, pages, snapshots)
-    return answers(rows, extract_pages(pages, options.max_html_bytes))
+    return answers(_with_page(rows, extracted if pages is None else pages, snapshots), extracted)
 
 
 def _with_page(rows: DataFrame, pages: DataFrame, snapshots: DataFrame | None) -> DataFrame:
