@@ -16,7 +16,7 @@ QUERIES = {
     "validate_requests": lambda s, d: requests.validate_requests(table(s, d, "loose_requests")),
     "url_parts": lambda s, d: admission.url_parts(table(s, d, "guard_urls")),
     "url_guard": lambda s, d: admission.url_guard(table(s, d, "guard_urls"), blocked_hosts=table(s, d, "blocked_hosts")),
-    "ip_class": lambda s, d: table(s, d, "addresses").withColumn("is_private", ip_is_private(F.col("ip"))),
+    "ip_class": lambda s, d: table(s, d, "addresses").withColumn("is_private", ip_is_private("ip")),
     "dns_guard": lambda s, d: admission.dns_guard(
         admission.url_guard(table(s, d, "guard_urls"), blocked_hosts=table(s, d, "blocked_hosts")),
         table(s, d, "resolutions")),

@@ -6,6 +6,7 @@ Each entry is a SELECT in the common part of Spark SQL and DuckDB SQL; what diff
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -243,29 +244,40 @@ def _epoch(d: Dialect) -> str:
     return "(epoch_us(ts) - epoch_us(timestamp '2024-01-01 00:00:00'))"
 
 
-_GIVEN = ["events", "pages", "documents"]
+_GIVEN = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "pages": "page_id bigint, url string, html string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
+def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(_GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given or derived table as a DataFrame."""
     if name in _GIVEN:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return given(spark, sf_dir, name)
     sql = table_sql(SPARK)
-    needed = _needed(name, sql)
-    ctes = ", ".join(f"{n} as ({_with_files(sql[n], sf_dir)})" for n in needed[:-1])
-    body = _with_files(sql[name], sf_dir)
-    return spark.sql(f"with {ctes} {body}" if ctes else body)
+    *before, last = _needed(name, sql)
+    ctes = ", ".join(f"{n} as ({sql[n]})" for n in before)
+    query = f"with {ctes} {sql[last]}" if ctes else sql[last]
+    used = [n for n in _GIVEN if re.search(rf"\b(from|join) {n}\b", query)]
+    for n in used:
+        query = re.sub(rf"\b(from|join) {n}\b", rf"\1 {{{n}}}", query)
+    return spark.sql(_spark_braces(query, used), **{n: given(spark, sf_dir, n) for n in used})
 
 
-def _with_files(sql: str, sf_dir: str) -> str:
-    import re
-
-    return re.sub(r"\b(from|join) (events|pages|documents)\b", rf"\1 parquet.`{sf_dir}/\2.parquet`", sql)
+def _spark_braces(query: str, used: list[str]) -> str:
+    """Only the table markers may be read as placeholders; JSON texts hold braces of their own."""
+    doubled = query.replace("{", "{{").replace("}", "}}")
+    for n in used:
+        doubled = doubled.replace(f"{{{{{n}}}}}", f"{{{n}}}")
+    return doubled
 
 
 def _needed(name: str, sql: dict[str, str]) -> list[str]:
-    import re
-
     found: list[str] = []
     for other in sql:
         if other == name:

@@ -14,89 +14,61 @@ IPV6 = (
 )
 
 
-def _octets(ip: Column) -> Column:
-    return F.transform(F.split(ip, r"\."), lambda o: o.try_cast("int"))
-
-
-def _private_v4(o: Column) -> Column:
-    a, b = F.get(o, 0), F.get(o, 1)
-    return (
-        a.isin(0, 10, 127)
-        | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b == 168))
-        | ((a == 169) & (b == 254))
-        | (a >= 224)
-    )
-
-
-def _hex_pair(high: Column, low: Column) -> Column:
-    return F.lower(F.hex(high * 256 + low))
-
-
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once per row."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
-def _dotted_tail_as_hex(ip: Column) -> Column:
-    tail = F.regexp_extract(ip, r"([0-9.]+)\z", 1)
-
-    def rewritten(o: Column) -> Column:
-        return F.concat(
-            F.regexp_replace(ip, r"[0-9.]+\z", ""),
-            _hex_pair(F.get(o, 0), F.get(o, 1)), F.lit(":"), _hex_pair(F.get(o, 2), F.get(o, 3)),
-        )
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` worked out once per row."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    return F.when(ip.contains(".") & tail.rlike(IPV4), _let(_octets(tail), rewritten)).otherwise(ip)
 
+def _octets(text: str) -> str:
+    return f"transform(split({text}, r'\\.'), p -> try_cast(p as int))"
 
-def _groups(text: Column) -> Column:
-    """Eight ints of an IPv6 text, with ``::`` filled up by zeros; null if it is none."""
 
-    def ints(part: Column) -> Column:
-        found = F.filter(F.split(part, ":"), lambda g: g != "")
-        return F.transform(found, lambda g: F.conv(F.substring(g, 1, 4), 16, 10).try_cast("int"))
+_PRIVATE_V4 = (
+    "get(o, 0) in (0, 10, 127) or (get(o, 0) = 172 and get(o, 1) between 16 and 31)"
+    " or (get(o, 0) = 192 and get(o, 1) = 168) or (get(o, 0) = 169 and get(o, 1) = 254) or get(o, 0) >= 224"
+)
 
-    left = ints(F.get(F.split(text, "::"), 0))
-    right = F.when(text.contains("::"), ints(F.substring_index(text, "::", -1))).otherwise(
-        F.array().cast("array<int>")
-    )
 
-    def filled(sides: Column) -> Column:
-        gap = F.greatest(F.lit(0), F.lit(8) - F.size(sides["l"]) - F.size(sides["r"]))
-        return F.concat(sides["l"], F.array_repeat(F.lit(0), gap), sides["r"])
+def _hex_pair(high: int) -> str:
+    return f"lower(hex(get(o, {high}) * 256 + get(o, {high + 1})))"
 
-    return F.when(text.rlike(IPV6), _let(F.struct(left.alias("l"), right.alias("r")), filled))
 
+def _ints(side: str) -> str:
+    return f"transform(filter(split({side}, ':'), p -> p <> ''), p -> try_cast(conv(substring(p, 1, 4), 16, 10) as int))"
 
-def _private_v6(g: Column) -> Column:
-    def bits(i: int, mask: int) -> Column:
-        return F.get(g, i).bitwiseAND(mask)
 
-    mapped = F.concat_ws(":", F.slice(g, 1, 6)) == "0:0:0:0:0:65535"
-    inner = F.array(F.shiftright(F.get(g, 6), 8), bits(6, 255), F.shiftright(F.get(g, 7), 8), bits(7, 255))
-    return (
-        F.when(F.size(g) != 8, F.lit(None).cast("boolean"))
-        .when(mapped, _let(inner, _private_v4))
-        .otherwise(
-            (F.concat_ws(":", g) == "0:0:0:0:0:0:0:1")
-            | (bits(0, 0xFE00) == 0xFC00) | (bits(0, 0xFFC0) == 0xFE80) | (F.get(g, 0) >= 0xFF00)
-        )
-    )
+# a dotted tail as two hex groups
+_HEXED = (
+    f"case when contains(t, '.') and regexp_extract(t, r'([0-9.]+)\\z', 1) rlike r'{IPV4}' then "
+    + _let(_octets(r"regexp_extract(t, r'([0-9.]+)\z', 1)"), "o",
+           f"concat(regexp_replace(t, r'[0-9.]+\\z', ''), {_hex_pair(0)}, ':', {_hex_pair(2)})")
+    + " else t end"
+)
+# eight ints, with "::" filled up by zeros; null if the text is no address
+_GROUPS = f"case when h rlike r'{IPV6}' then " + _let(
+    f"named_struct('l', {_ints("get(split(h, '::'), 0)")}, 'r', case when contains(h, '::') then "
+    f"{_ints("substring_index(h, '::', -1)")} else cast(array() as array<int>) end)",
+    "s", "concat(s.l, array_repeat(0, greatest(0, 8 - size(s.l) - size(s.r))), s.r)",
+) + " end"
+_PRIVATE_V6 = (
+    "case when size(g) <> 8 then null"
+    " when concat_ws(':', slice(g, 1, 6)) = '0:0:0:0:0:65535' then "
+    + _let("array(shiftright(get(g, 6), 8), get(g, 6) & 255, shiftright(get(g, 7), 8), get(g, 7) & 255)", "o", _PRIVATE_V4)
+    + " else concat_ws(':', g) = '0:0:0:0:0:0:0:1' or (get(g, 0) & 65024) = 64512"  # fc00::/7
+    " or (get(g, 0) & 65472) = 65152 or get(g, 0) >= 65280 end"  # fe80::/10, ff00::/8
+)
 
 
-def ip_is_private(ip: Column) -> Column:
+def ip_is_private(column: str) -> Column:
     """True for loopback, private, link-local, multicast, 0/8 and 240/4; null if not an address.
 
     ``::``, 100.64/10 and 192.0.2/24 count as public, as in the policy this follows.
     """
-
-    def judged(text: Column) -> Column:
-        return F.when(text.rlike(IPV4), _let(_octets(text), _private_v4)).when(
-            text.contains(":"), _let(_let(_dotted_tail_as_hex(text), _groups), _private_v6)
-        )
-
-    return _let(F.lower(F.trim(ip)), judged)
+    v6 = _let(_let(_HEXED, "h", _GROUPS), "g", _PRIVATE_V6)
+    judged = (
+        f"case when t rlike r'{IPV4}' then {_let(_octets('t'), 'o', _PRIVATE_V4)} when contains(t, ':') then {v6} end"
+    )
+    return F.expr(_let(f"lower(trim({column}))", "t", judged))
 
 
 def is_ip_literal(host: Column) -> Column:

@@ -71,7 +71,7 @@ def _verdict(code: str, detail: str | None):
 def private_hosts(resolutions: DataFrame) -> DataFrame:
     """One row per host that has at least one private address, with the smallest such address."""
     return (
-        resolutions.withColumn("_private", ip_is_private(F.col("ip")))
+        resolutions.withColumn("_private", ip_is_private("ip"))
         .where("_private")
         .groupBy("host").agg(F.min("ip").alias("private_ip"))
     )
@@ -88,7 +88,7 @@ def dns_guard(df: DataFrame, resolutions: DataFrame, allow_private: bool = False
     if allow_private:
         return df.select(*keep, code.alias("error_code"), detail.alias("error_detail"))
     bad_ip = F.coalesce(
-        F.when(is_ip_literal(F.col("host")) & ip_is_private(F.col("host")), F.col("host")), F.col("private_ip")
+        F.when(is_ip_literal(F.col("host")) & ip_is_private("host"), F.col("host")), F.col("private_ip")
     )
     blocked = code.isNull() & F.col("_bad_ip").isNotNull()
     return (
