@@ -48,7 +48,8 @@ def ttl_admission(requests: DataFrame, ttl_s: int = DEFAULTS.cache_ttl_s, *, key
     followed by pointer doubling over all executors, so no session has to fit one task.
     """
     ttl = ttl_s * US_PER_S
-    arrivals = (
+    # narrow and used several times below: worked out once
+    arrivals = durable(
         requests.groupBy(F.col(key).alias("_key"), epoch_us(ts).alias("_t"))
         .agg(F.min(request_id).alias("_id"))
         .withColumn("_chunk", floor_div(F.col("_t"), ttl))

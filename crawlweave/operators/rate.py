@@ -57,9 +57,11 @@ def rate_limit_admission(requests: DataFrame, per_second: float = DEFAULTS.rate_
     )
     peak = F.greatest(F.col("_peak_before"), F.max("_lead").over(earlier) - F.col("_offset") * step)
     n = F.col("_offset") + F.col("_r")
+    # a row without a host meets no border and waits for nobody; a left join also leaves both uses
+    # of the scanned rows alike, so their shuffle can be shared
     admitted = F.greatest(F.col("_at"), (n - 1) * step + peak - (burst - 1) * step)
     return (
-        scanned.join(borders, [host, "_chunk"])
+        scanned.join(borders, [host, "_chunk"], "left")
         .withColumn("_admitted", admitted)
         .select(
             *[c for c in requests.columns if c != "arrival_us"],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crawlweave.durability import durable
 from crawlweave.operators.admission import dns_guard, url_guard, url_parts
 from crawlweave.operators.extract import extract_pages
 from crawlweave.operators.fetchlog import error_messages, hop_chains, retry_outcome
@@ -87,6 +88,9 @@ def fetch_flow(requests: DataFrame, pages: DataFrame | None, *, extracted: DataF
     rows = rows.withColumn(
         "rate_key", F.when(fetches, F.col("host")).otherwise(F.concat(F.lit("\x00"), F.col("request_id").cast("string")))
     )
+    if not rows.isStreaming:
+        # the rate limit uses the rows twice; cut here, parsing, guards and freshness run once
+        rows = durable(rows)
     rows = limit(
         rows, options.rate_per_second, options.rate_burst, host="rate_key", ts="ts"
     ).drop("rate_key", "arrival_us", "wait_us")
