@@ -212,8 +212,8 @@ def markdown_sql(source: str) -> list[tuple[str, str]]:
             from m0 window w as {_PAGE}"""),
         ("m2", f"""select page_id, idx, raw, tag, dir, row_id, table_id, case when row_id >= 0 then c_id else -1 end as cell_id,
             {_clamp('s_pre', _PAGE)} as pre, {_clamp('s_list', _PAGE)} as l_depth, {_clamp('s_quote', _PAGE)} as quote_depth from m1"""),
-        ("m3", f"""select *, pre > 0 and cell_id < 0 as in_pre, case when cell_id >= 0 then tag in {_TABLES} when pre > 0 then tag = 'pre' and pre = 1
-            else tag in {_BLOCKS} end as is_break from m2"""),
+        ("m3", f"""select * exclude (brk), brk or coalesce(lag(brk and tag = 'hr') over {_PAGE}, false) as is_break from (select *, pre > 0 and cell_id < 0 as in_pre, case when cell_id >= 0 then tag in {_TABLES} when pre > 0 then tag = 'pre' and pre = 1
+            else tag in {_BLOCKS} end as brk from m2)"""),
         ("m4", f"select *, sum(case when is_break then 1 else 0 end) over {_PAGE} as block_no, sum(case when tag = 'li' and dir = 1 then 1 else 0 end) over (partition by page_id, l_depth order by idx) as li_n from m3"),
         ("m5", """select *, last_value(case when tag in ('ul', 'ol') and dir = 1 then {'idx': idx, 'ordered': tag = 'ol', 'li_before': li_n} end ignore nulls) over w as lst,
             last_value(case when tag = 'li' and dir = 1 then idx end ignore nulls) over w as li from m4 window w as (partition by page_id, l_depth order by idx)"""),

@@ -225,7 +225,7 @@ def table_sql(d: Dialect) -> dict[str, str]:
                      when 0 then '<ul><li>one <a href="/p/' || {_text('page_id')} || '?a=1&amp;b=2">link <b>bold</b></a></li><li>two<ol><li>n1<li>n2 <em>it</em></ol></li><li><p>three</p><p>more</p></li></ul><ul><li>other</ul>'
                      when 1 then '<blockquote><p>Quoted <i>text</i> ' || url || '</p><p>again</p></blockquote><pre><code>x = ' || {_text('page_id')} || chr(10) || '  if a &lt; b:' || chr(10) || '</code></pre><p>uses <code>f(x)</code></p>'
                      when 2 then '<table><thead><tr><th>k</th><th>v</th></tr></thead><tr><td>' || {_text('page_id')} || '</td><td><p>a|b</p><p>c</p></td></tr><tr><td></td><td>x<br>y</td></tr></table>'
-                     else '<h2>Part <b>' || {_text('page_id')} || '</b></h2><p>Line<br>break<hr><p title="a > b">quoted &#8364;&#x41; &unknown; <img src="i.png" alt="pic"> end</div></ul></pre>' end
+                     else '<h2>Part <b>' || {_text('page_id')} || '</b></h2><p>Line<br>break<hr>after rule<p title="a > b">quoted &#8364;&#x41; &unknown; <img src="i.png" alt="pic"> end</div></ul></pre>' end
                    || '</article>') as html
             from pages""",
         "image_meta": f"""

@@ -80,7 +80,10 @@ def _placed(rows: DataFrame) -> DataFrame:
     breaks = F.when(F.col("cell_id") >= 0, tag.isin(*_TABLE_TAGS)).when(
         F.col("in_pre"), (tag == "pre") & (F.col("_pre") == 1)
     ).otherwise(tag.isin(*BLOCK_TAGS))
-    rows = rows.withColumn("is_break", breaks).withColumn(
+    # a rule has no end tag: what follows it is a new block
+    before = Window.partitionBy("page_id").orderBy("idx")
+    after_rule = F.coalesce(F.lag(F.col("_breaks") & (tag == "hr")).over(before), F.lit(False))
+    rows = rows.withColumn("_breaks", breaks).withColumn("is_break", F.col("_breaks") | after_rule).withColumn(
         "block_no", F.sum(F.col("is_break").cast("int")).over(on_page)
     )
     at_depth = (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from crawlweave.functions.times import epoch_us, from_epoch_us
 from crawlweave.operators.fetchlog import outcome_metrics
 from crawlweave.operators.ordered import newest_within_lookup
 from crawlweave.options import DEFAULTS, Options
@@ -36,8 +37,13 @@ def fetch_flow_stream(requests: DataFrame, extracted: DataFrame, *, snapshots: D
 
 def outcome_metrics_stream(outcomes: DataFrame, delay: str = "1 hour", window: str = "10 minutes",
                            host: str = "host", ts: str = "ts") -> DataFrame:
-    """Windowed metrics of a stream; a window is final once the watermark has passed it."""
-    return outcome_metrics(outcomes.withWatermark(ts, delay), window, host=host, ts=ts)
+    """Windowed metrics of a stream; a window is final once the watermark has passed it.
+
+    A watermark needs an instant, so times without zone are read as UTC and given back as they were.
+    """
+    instants = outcomes.withColumn(ts, F.timestamp_micros(epoch_us(ts))).withWatermark(ts, delay)
+    metrics = outcome_metrics(instants, window, host=host, ts=ts)
+    return metrics.withColumn("window_start", from_epoch_us(F.unix_micros("window_start")))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
