@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.inputs import HOST_OF, oracle, table
-from crawlweave.functions.html import ATTRIBUTE, BLOCK_TAGS, CHROME, ENTITIES, ENTITY_PIECE, HIDDEN, TOKEN, decode_entities, element_pattern
+from crawlweave.functions.html import ATTRIBUTE, BLOCK_TAGS, CHROME_PATTERN, ENTITIES, ENTITY_PIECE, HIDDEN_PATTERN, TOKEN, decode_entities
 from crawlweave.functions.urls import filename_from_url
 from crawlweave.operators import extract, markdown
 
@@ -52,11 +52,11 @@ _BLOCKS = "(" + ", ".join(q(t) for t in BLOCK_TAGS) + ")"
 
 
 def drop_hidden(x: str) -> str:
-    return f"regexp_replace({x}, {q('(?is)<!--.*?(?:-->|' + chr(92) + 'z)|' + element_pattern(HIDDEN))}, '', 'g')"
+    return f"regexp_replace({x}, {q(HIDDEN_PATTERN)}, '', 'g')"
 
 
 def drop_chrome(x: str) -> str:
-    return f"regexp_replace({x}, {q('(?is)' + element_pattern(CHROME))}, '', 'g')"
+    return f"regexp_replace({x}, {q(CHROME_PATTERN)}, '', 'g')"
 
 
 def collapse(x: str) -> str:

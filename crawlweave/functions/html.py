@@ -42,17 +42,22 @@ ATTRIBUTE = rf"""[^{WS}=/\x22'>]+(?:[{WS}]*=[{WS}]*(?:\x22[^\x22]*\x22|'[^']*'|[
 ENTITY_PIECE = r"&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"
 
 
-def element_pattern(names: list[str]) -> str:
-    return "|".join(rf"<{n}(?:[{WS}/][^>]*)?>.*?(?:</{n}[^>]*>|\z)" for n in names)
+def _elements(names: list[str]) -> str:
+    return "|".join(rf"{n}(?:[{WS}/][^>]*)?>.*?(?:</{n}[^>]*>|\z)" for n in names)
+
+
+# the common "<" comes first, so that the matcher tries the names at tags only
+HIDDEN_PATTERN = rf"(?is)<(?:!--.*?(?:-->|\z)|{_elements(HIDDEN)})"
+CHROME_PATTERN = rf"(?is)<(?:{_elements(CHROME)})"
 
 
 def drop_hidden(html: Column) -> Column:
     """Without comments, scripts, styles and the like; an unclosed one reaches to the end."""
-    return F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z)|{element_pattern(HIDDEN)}", "")
+    return F.regexp_replace(html, HIDDEN_PATTERN, "")
 
 
 def drop_chrome(html: Column) -> Column:
-    return F.regexp_replace(html, rf"(?is){element_pattern(CHROME)}", "")
+    return F.regexp_replace(html, CHROME_PATTERN, "")
 
 
 def tokens(html: Column) -> Column:

@@ -31,11 +31,12 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
 
 def page_title(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", title_of(F.col("html")).alias("title"))
+    return pages.select("page_id", title_of(drop_hidden(F.col("html"))).alias("title"))
 
 
-def title_of(html: Column) -> Column:
-    found = F.regexp_extract(drop_hidden(html), rf"(?is)<title(?:[{WS}][^>]*)?>(.*?)</title", 1)
+def title_of(clean: Column) -> Column:
+    """Title of a page without its hidden parts."""
+    found = F.regexp_extract(clean, rf"(?is)<title(?:[{WS}][^>]*)?>(.*?)</title", 1)
     return F.trim(collapse(decode_entities(found)))
 
 
@@ -125,7 +126,7 @@ def _inner(html: Column, tag: str) -> Column:
     return F.regexp_replace(tail, rf"(?is)\A(.*)</{tag}.*\z", "$1")
 
 
-def region_candidates(pages: DataFrame) -> DataFrame:
+def region_candidates(pages: DataFrame, cleaned: bool = False) -> DataFrame:
     """Add ``region`` and ``rule`` (article, main, body) by tags alone; ``html`` is dropped. No shuffle.
 
     Navigation, asides and footers are taken out of the region unless nothing else is in it.
@@ -140,7 +141,7 @@ def region_candidates(pages: DataFrame) -> DataFrame:
     body = F.when(clean.rlike(rf"(?i)<body[{WS}/>]"), _inner(clean, "body")).otherwise(no_head)
     # one select per step: each pattern runs once per page
     return (
-        pages.select(*keep, drop_hidden(F.col("html")).alias("_clean"))
+        pages.select(*keep, (F.col("html") if cleaned else drop_hidden(F.col("html"))).alias("_clean"))
         .select(*keep, "_clean", _inner(clean, "article").alias("_article"))
         .select(*keep, "_clean", "_article", F.when(is_blank(article), _inner(clean, "main")).alias("_main"))
         .select(
@@ -153,18 +154,19 @@ def region_candidates(pages: DataFrame) -> DataFrame:
     )
 
 
-def main_region(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def main_region(pages: DataFrame, keep: tuple[str, ...] = (), cleaned: bool = False) -> DataFrame:
     """``page_id``, the columns to keep, ``content`` (cleaned HTML), ``source_rule`` and ``error_code``.
 
     Pages marked up with article or main are done by tags and go through as one row. Others are
     cut into blocks, and texts that look like template are taken out; if that leaves nothing,
-    the whole body stays. One shuffle, on the page, of the picked region.
+    the whole body stays. One shuffle, on the page, of the picked region. ``cleaned``: html has no
+    comments, scripts and styles left.
     """
     region = F.coalesce("region", F.lit(""))
     pieces = F.when(F.col("rule") == "body", tokens(region)).otherwise(F.array(region))
     kept = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(True))
     rows = (
-        region_candidates(pages.select("page_id", "html", *keep)).repartition("page_id")
+        region_candidates(pages.select("page_id", "html", *keep), cleaned).repartition("page_id")
         .select("page_id", "rule", kept.alias("_keep"), F.posexplode(F.concat(F.array(F.lit("")), pieces)).alias("idx", "_raw"))
         .withColumn("_keep", F.when(F.col("idx") == 0, F.col("_keep")))
     )
@@ -258,10 +260,10 @@ def extract_pages(pages: DataFrame, max_bytes: int = DEFAULTS.max_html_bytes) ->
     """
     too_large = F.octet_length("html") > max_bytes
     sized = pages.select(
-        "page_id", "url", F.when(~too_large, F.col("html")).alias("html"),
+        "page_id", "url", F.when(~too_large, drop_hidden(F.col("html"))).alias("html"),
         F.coalesce(too_large, F.lit(False)).alias("too_large"),
     ).withColumn("title", F.coalesce(title_of(F.col("html")), F.lit("")))
-    regions = main_region(sized, keep=("url", "title", "too_large"))
+    regions = main_region(sized, keep=("url", "title", "too_large"), cleaned=True)
     coded = regions.withColumn("images", image_array(F.col("content"))).withColumn(
         "error_code", F.when(F.col("too_large"), "content_too_large").otherwise(F.col("error_code"))
     ).drop("too_large")
