@@ -31,7 +31,7 @@ QUERIES = {
     "decode_entities": lambda s, d: table(s, d, "rich_pages").select(
         "page_id", decode_entities(F.concat("html", F.lit(" &#38;lt; &amp;lt; &#xD800; &#0; &nbsp;&hellip; &#128512;"))).alias("text")),
     "to_markdown": lambda s, d: markdown.to_markdown(extract.main_region(table(s, d, "rich_pages"))),
-    "extract_pages": lambda s, d: extract.extract_pages(table(s, d, "region_pages")).withColumn("images", F.size("images")),
+    "extract_pages": lambda s, d: extract.extract_pages(table(s, d, "region_pages")).withColumn("images", F.size("images").cast("bigint")),
     "raw_content": lambda s, d: extract.raw_content(
         table(s, d, "requests").select("request_id", "page_id", "raw"), _both_contents(s, d)),
     "image_refs": lambda s, d: extract.image_refs(extract.main_region(table(s, d, "image_pages")).select("page_id", "content")),

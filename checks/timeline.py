@@ -20,7 +20,7 @@ QUERIES = {
     "ttl_admission": lambda s, d: freshness.ttl_admission(
         table(s, d, "requests").select("request_id", "ts", "url_key"), ttl_s=DAY),
     "invalidate": lambda s, d: freshness.invalidate(
-        table(s, d, "snapshots"), table(s, d, "requests").where("ignore_robots AND raw").select("url_key")),
+        table(s, d, "snapshots"), table(s, d, "requests").where("url like '%/de/%'").select("url_key")),
     "hot_set": lambda s, d: freshness.hot_set(table(s, d, "requests"), 100),
     "politeness_schedule": lambda s, d: rate.politeness_schedule(
         table(s, d, "requests").select("request_id", "host"), order="request_id"),
@@ -127,7 +127,7 @@ ORACLES = {
             union all
             select url_key, nt from (select m.url_key, (select min(a.t) from arr a where a.url_key = m.url_key and a.t > m.t + {DAY * 1_000_000}) as nt from misses m) where nt is not null""")]),
     "invalidate": oracle(["requests", "snapshots"], """select * from snapshots where url_key not in
-        (select url_key from requests where ignore_robots and raw)"""),
+        (select url_key from requests where url like '%/de/%')"""),
     "hot_set": oracle(["requests"], """select url_key, max(ts) as last_used, count(*) as uses from requests
         group by url_key order by last_used desc, url_key limit 100"""),
     "politeness_schedule": oracle(["requests"], """select request_id, host, n, greatest(0, n - 10) * 200000 as start_us
