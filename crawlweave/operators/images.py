@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlweave.functions.urls import ext_from_mime, safe_stem, url_struct
+from crawlweave.operators.output import remaining_images
 from crawlweave.options import DEFAULTS
 
 
@@ -50,8 +51,7 @@ def select_images(refs: DataFrame, requests: DataFrame) -> DataFrame:
     total = F.size("_all")
     return (
         requests.join(per_page, "page_id")
-        .withColumn("remaining_images", F.when(F.col("image_start") >= total, 0).otherwise(
-            total - F.col("image_start") - F.least(F.col("image_count"), total - F.col("image_start"))))
+        .withColumn("remaining_images", remaining_images(total, F.col("image_start"), F.col("image_count")))
         .select(
             *requests.columns, "remaining_images",
             F.posexplode(F.slice(F.col("_all"), F.col("image_start") + 1, F.col("image_count"))).alias("image_no", "_img"),

@@ -18,11 +18,14 @@ def numbered(df: DataFrame, key: str, order: str, tie: str, chunk_width: int) ->
     counts = rows.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        key, "_chunk", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+        F.col(key).alias("_of_key"), F.col("_chunk").alias("_of_chunk"),
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
     )
+    # rows without a key are numbered among themselves
+    same = F.col(key).eqNullSafe(F.col("_of_key")) & (F.col("_chunk") == F.col("_of_chunk"))
     inside = Window.partitionBy(key, "_chunk").orderBy(order, tie)
     return (
-        rows.join(offsets, [key, "_chunk"])
+        rows.join(offsets, same)
         .withColumn("n", F.col("_offset") + F.row_number().over(inside))
         .select(*df.columns, "n")
     )

@@ -103,10 +103,10 @@ def test_rate_burst(spark):
 
 
 def test_numbered_over_chunks(spark):
-    rows = [(i * 3, "hot" if i % 4 else "b") for i in range(200)]
+    rows = [(i * 3, None if i % 10 == 0 else "hot" if i % 4 else "b") for i in range(200)]
     df = spark.createDataFrame(rows, "id long, k string")
     got = {r.id: r.n for r in numbered(df, "k", "id", "id", 50).collect()}
-    for key in ("hot", "b"):
+    for key in ("hot", "b", None):
         assert [got[i] for i, k in rows if k == key] == list(range(1, 1 + sum(k == key for _, k in rows)))
 
 
