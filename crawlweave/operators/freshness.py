@@ -91,7 +91,9 @@ def ttl_admission(requests: DataFrame, ttl_s: int = DEFAULTS.cache_ttl_s, *, key
 
 
 def _tagged(arrivals: DataFrame, sessions: DataFrame) -> DataFrame:
-    return arrivals.join(sessions.select("_key", "_chunk", "_session"), ["_key", "_chunk"])
+    of = sessions.select(F.col("_key").alias("_of_key"), F.col("_chunk").alias("_of_chunk"), "_session")
+    same = F.col("_key").eqNullSafe(F.col("_of_key")) & (F.col("_chunk") == F.col("_of_chunk"))
+    return arrivals.join(of, same).drop("_of_key", "_of_chunk")
 
 
 def _fold_misses(arrivals: str, ttl: int):
