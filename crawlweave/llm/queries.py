@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlweave.llm import decontaminate, language
+from crawlweave.llm import decontaminate, hilbert, language, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +15,22 @@ def op4_decontaminate(spark, sf_dir):
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_hilbert_shards(spark, sf_dir):
+    return hilbert.sharded(table(spark, sf_dir, "documents"))
+
+
+def op6_mix_sources(spark, sf_dir):
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark, sf_dir):
     return language.predictions(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op3_hilbert_shards": op3_hilbert_shards,
     "op4_decontaminate": op4_decontaminate,
+    "op6_mix_sources": op6_mix_sources,
     "op8_language": op8_language,
 }
 
