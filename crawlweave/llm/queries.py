@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlweave.llm import decontaminate, hilbert, language, mixing
+from crawlweave.llm import decontaminate, hilbert, jaccard_trie, language, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,16 @@ def op8_language(spark, sf_dir):
     return language.predictions(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_trie(spark, sf_dir):
+    return jaccard_trie.component_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_decontaminate": op4_decontaminate,
     "op6_mix_sources": op6_mix_sources,
     "op8_language": op8_language,
+    "op9_jaccard_trie": op9_jaccard_trie,
 }
 
 ORACLES: dict[str, str] = {}
