@@ -19,6 +19,7 @@ table gives an empty result. Only doc_id and text are read; other columns ride a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -338,15 +339,17 @@ def one_per_component(docs: DataFrame) -> DataFrame:
     return out.select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
+def _signatures(text: pa.Array, size: int) -> pa.Array:
+    flat = SimpleNamespace(value=np.zeros(BUCKETS, np.int64))
+    (batch,) = set_keys(flat, size)([pa.RecordBatch.from_arrays([text], ["text"])])
+    return pa.StructArray.from_arrays([batch.column(k) for k in (0, 1, 2)], ["s1", "s2", "n"])
+
+
 def signature(size: int = SIZE):
     """A column function text -> struct(s1, s2, n), the key of its set; it doesn't depend on the global order."""
 
     @F.arrow_udf("struct<s1:bigint,s2:bigint,n:bigint>")
     def key(text: pa.Array) -> pa.Array:
-        class _Flat:
-            value = np.zeros(BUCKETS, np.int64)
-
-        (batch,) = set_keys(_Flat, size)([pa.RecordBatch.from_arrays([text], ["text"])])
-        return pa.StructArray.from_arrays([batch.column(k) for k in (0, 1, 2)], ["s1", "s2", "n"])
+        return _signatures(text, size)
 
     return key

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from crawlweave.llm import decontaminate, hilbert, jaccard_trie, language, mixing
 
 
@@ -31,12 +32,17 @@ def op9_jaccard_trie(spark, sf_dir):
     return jaccard_trie.component_report(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_decontaminate": op4_decontaminate,
     "op6_mix_sources": op6_mix_sources,
     "op8_language": op8_language,
     "op9_jaccard_trie": op9_jaccard_trie,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}
