@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from crawlweave.llm import decontaminate, hilbert, jaccard_trie, language, mixing, seed_extend
+from crawlweave.llm import decontaminate, hilbert, jaccard_trie, language, mixing, rlbwt, seed_extend
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op4_decontaminate(spark, sf_dir):
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_run_length_index(spark, sf_dir):
+    return rlbwt.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op2_seed_extend(spark, sf_dir):
     return seed_extend.repeat_report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_run_length_index": op1_run_length_index,
     "op2_seed_extend": op2_seed_extend,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_decontaminate": op4_decontaminate,
