@@ -80,7 +80,9 @@ def slots_of(per_source: DataFrame, shards: int = SHARDS) -> DataFrame:
     ahead = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     per = per_source.where("slots > 0").select("source", "blocks", "slots", F.coalesce(F.sum("slots").over(ahead), F.lit(0)).alias("first"))
     per = per.withColumn("all", F.sum("slots").over(Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    pages = per.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("slots") - 1, F.lit(PAGE).cast("bigint")))).repartition("source", "page")
+    pages = per.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("slots") - 1, F.lit(PAGE).cast("bigint"))))
+    # a page is a small row that becomes many: dealt by number, as by size they would all go to one task
+    pages = pages.repartition(int(per.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "page")
     slot = F.explode(F.sequence("page", F.least(F.col("page") + PAGE, F.col("slots")) - 1))
     df = pages.select("source", "blocks", "first", "all", slot.alias("slot"))
     turn = F.floor(F.col("slot") / F.col("blocks"))
@@ -115,6 +117,7 @@ def pieces_of(sizes: DataFrame, per_source: DataFrame, block: int = BLOCK) -> Da
 def _taken(sizes: DataFrame, per_source: DataFrame, block: int) -> DataFrame:
     """The pieces with `times`, how often the mix takes their block."""
     times = slots_of(per_source).groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count("*").alias("times"))
+    times = times.hint("merge")  # it grows with the words, though the table it comes from is tiny
     pieces = pieces_of(sizes, per_source, block)
     joined = pieces.join(times, pieces["source"].eqNullSafe(times["s"]) & (pieces["block"] == times["b"]), "left")
     return joined.withColumn("times", F.coalesce("times", F.lit(0))).drop("s", "b")
