@@ -27,7 +27,7 @@ SHARDS = 64
 WEIGHTS, MOST = (5, 2, 1), 3
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a source that share one running sum; slots made by one generator row.
-RUN, PAGE = 20_000, 65_536
+RUN, PAGE = 2_000, 65_536
 ROUNDS = 8
 
 
