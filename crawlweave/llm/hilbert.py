@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crawlweave.llm.staging import fresh, staged
 
-SHARDS, BITS, GROUP = 8, 4, 100_000
+SHARDS, BITS, GROUP = 8, 4, 1_000
 
 
 def _levels(df: DataFrame, name: str) -> DataFrame:
