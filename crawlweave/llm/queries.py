@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from crawlweave.llm import decontaminate, hilbert, jaccard_trie, language, mixing, rlbwt, seed_extend
+from crawlweave.llm import decontaminate, hilbert, jaccard_trie, language, mixing, render, rlbwt, seed_extend, syncmers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +28,18 @@ def op3_hilbert_shards(spark, sf_dir):
     return hilbert.sharded(table(spark, sf_dir, "documents"))
 
 
+def op5_visible_text(spark, sf_dir):
+    return render.text_report(table(spark, sf_dir, "pages"))
+
+
 def op6_mix_sources(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_closed_syncmers(spark, sf_dir):
+    return syncmers.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark, sf_dir):
     return language.predictions(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,9 @@ QUERIES = {
     "op2_seed_extend": op2_seed_extend,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_decontaminate": op4_decontaminate,
+    "op5_visible_text": op5_visible_text,
     "op6_mix_sources": op6_mix_sources,
+    "op7_closed_syncmers": op7_closed_syncmers,
     "op8_language": op8_language,
     "op9_jaccard_trie": op9_jaccard_trie,
     "pipeline": pipeline,
