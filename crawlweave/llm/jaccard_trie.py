@@ -1,9 +1,11 @@
 """N-gram Jaccard join: sets of 5-word shingles in a global order, joined over prefix trees.
 
-1. Shingle frequencies are counted over all documents into a fixed table of `BUCKETS` counters (a shingle stands for its
-   bucket). The global order of shingles is (count of its bucket, hash): rare ones first, everywhere the same.
+1. Shingle frequencies are counted over all documents into a fixed table of `BUCKETS` counters, which tells the very common
+   ones. A share `FRONT` of all other shingles, chosen by hash, is counted exactly. The global order of shingles is: those
+   counted, rarest first; then all others by (count of the bucket, hash). It is the same everywhere.
 2. Equal sets become one class. Two sets with Jaccard >= 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, so
-   classes that share no such prefix shingle, directly or over others, can't link: they fall into separate blocks.
+   classes that share no such prefix shingle, directly or over others, can't link: they fall into separate blocks. Sets
+   that share one are chained by size, and a chain breaks where the next size is out of reach.
 3. In a block the sets, commonest shingle first, are put one by one into a compressed trie. Before a set goes in, it walks the
    trie: sets below a node share the overlap counted down to it, and a subtree is left when its size bounds or the
    overlap still possible rule a link out, or when all of it is already connected with the walking set.
@@ -19,7 +21,6 @@ table gives an empty result. Only doc_id and text are read; other columns ride a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ SIZE = 5
 #: Jaccard threshold as a fraction.
 OVER, UNDER = 80, 100
 BUCKETS = 1 << 18
+#: Share of shingles counted exactly: more than the fifth that prefixes take. Buckets above HOT times the mean are left out.
+FRONT, HOT = 0.3, 4
+#: Classes in blocks whose keys are broadcast to pick their texts; more are picked by a shuffled join.
+SMALL = 1_000_000
 #: Shingles that one task holds at a time (8 bytes each, and as much again for the trie); ties added per part.
 PART, TIES = 2_000_000, 32
 _U = np.uint64
@@ -85,30 +90,61 @@ def in_order(counts: np.ndarray, hashes: np.ndarray, rows: np.ndarray) -> np.nda
     return np.lexsort((hashes, counts[_bucket(hashes)], rows))
 
 
-def set_keys(counts, size: int = SIZE, sets: bool = False):
-    """A mapInArrow function (text last) -> the other columns, s1, s2, n, and the prefix, or with `sets` the whole ordered set."""
+def _signature(hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    out = []
+    for seed in (11, 13):  # sums don't depend on the order
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(hashes + _U(seed)), dtype=_U)])
+        out.append(signed(mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(_U))))
+    return out
+
+
+def prefix_size(n):
+    return n - (n * OVER + UNDER - 1) // UNDER + 1
+
+
+def _whole(counts, hashes, rows, at):
+    """The whole set in (bucket count, hash) order."""
+    return hashes, np.diff(at), np.diff(at)
+
+
+def _front(counts, hashes, rows, at):
+    """The set's exactly counted shingles, then, if they are fewer than the prefix, as many of the others as it lacks."""
+    n = np.diff(at)
+    often = counts[_bucket(hashes)]
+    front = (hashes < _U(int(FRONT * 2**64))) & (often <= HOT * counts.mean() + 1000)
+    fronts = np.bincount(rows[front], minlength=len(n))
+    before = np.concatenate([[0], np.cumsum(~front)])
+    place = before[:-1] - np.repeat(before[at[:-1]], n)  # among the others of the row
+    other = ~front & (place < np.repeat(np.where(n > 0, prefix_size(n), 0) - fronts, n))
+    chosen = np.concatenate([np.flatnonzero(front), np.flatnonzero(other)])
+    chosen = chosen[np.argsort(rows[chosen], kind="stable")]
+    return hashes[chosen], np.bincount(rows[chosen], minlength=len(n)), fronts
+
+
+def set_keys(counts, size: int = SIZE, choose=None):
+    """A mapInArrow function (text last) -> the other columns, s1, s2, n; with `choose` shingles, fronts."""
 
     def keys(batches):
         for batch in batches:
-            s1, s2, ns, chosen, ends = [], [], [], [], []
+            columns = [[], [], []]
+            chosen, ends, fronts = [], [], []
             for _, hashes, at in shingle_sets(batch.column(batch.num_columns - 1), size):
                 n = np.diff(at)
-                rows = np.repeat(np.arange(len(n)), n)
-                hashes = hashes[in_order(counts.value, hashes, rows)]
-                for out, seed in ((s1, 11), (s2, 13)):
-                    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(hashes + _U(seed)), dtype=_U)])
-                    out.append(signed(mix(sums[at[1:]] - sums[at[:-1]] + n.astype(_U))))
-                kept = n if sets else np.where(n > 0, n - (n * OVER + UNDER - 1) // UNDER + 1, 0)
-                inside = np.arange(len(hashes)) - np.repeat(at[:-1], n) < np.repeat(kept, n)
-                ns.append(n)
-                chosen.append(signed(hashes[inside]))
-                ends.append(kept)
+                for out, own in zip(columns, [*_signature(hashes, at), n], strict=True):
+                    out.append(own)
+                if choose:
+                    rows = np.repeat(np.arange(len(n)), n)
+                    hashes = hashes[in_order(counts.value, hashes, rows)]
+                    for out, own in zip((chosen, ends, fronts), choose(counts.value, hashes, rows, at), strict=True):
+                        out.append(own)
             join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-            offsets = np.concatenate([[0], np.cumsum(join(ends, np.int64))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(join(chosen, np.int64)))
-            own = [pa.array(join(s1, np.int64)), pa.array(join(s2, np.int64)), pa.array(join(ns, np.int64)), lists]
-            names = [*batch.schema.names[:-1], "s1", "s2", "n", "shingles"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names)
+            own, names = [*batch.columns[:-1], *(pa.array(join(c, np.int64)) for c in columns)], [*batch.schema.names[:-1], "s1", "s2", "n"]
+            if choose:
+                offsets = np.concatenate([[0], np.cumsum(join(ends, np.int64))]).astype(np.int32)
+                values = np.concatenate(chosen) if chosen else np.empty(0, _U)
+                own += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(values))), pa.array(join(fronts, np.int64))]
+                names += ["shingles", "fronts"]
+            yield pa.RecordBatch.from_arrays(own, names)
 
     return keys
 
@@ -245,6 +281,25 @@ def _join_part(counts):
     return join
 
 
+def _chained(fronts: DataFrame) -> DataFrame:
+    """Edges (a, b) between s1 of classes that share a prefix shingle: each with the next smaller one, if that is in reach.
+
+    A counted shingle that only one class has fills its place in the prefix and is dropped; a class whose prefix is full of
+    such ones is out. Very common shingles are not among the counted ones, so the windows hold no hot one.
+    """
+    prefix = F.col("n") - F.ceil(F.col("n") * OVER / UNDER) + 1
+    cut = fronts.select("s1", "n", "fronts", F.posexplode("shingles").alias("place", "t"))
+    rows = cut.select("t", "s1", F.col("n").cast("int").alias("n"), F.col("fronts").cast("int").alias("fronts"), (F.col("place") >= F.col("fronts")).alias("other"))
+    shared = rows.withColumn("c", F.count("*").over(Window.partitionBy("t"))).where("c > 1")
+    own = Window.partitionBy("s1")
+    mine = F.sum(F.when(~F.col("other"), 1).otherwise(0)).over(own)
+    place = F.row_number().over(own.orderBy("other", "c", "t")) + F.col("fronts") - mine
+    inside = shared.withColumn("place", place).where(F.col("other") | (F.col("place") <= prefix)).select("t", "s1", "n")
+    by_size = Window.partitionBy("t").orderBy("n", "s1")
+    pairs = inside.select("s1", "n", F.lag("s1").over(by_size).alias("b"), F.lag("n").over(by_size).alias("m"))
+    return pairs.where(f"b is not null and {UNDER} * m >= {OVER} * n").select(F.col("s1").alias("a"), "b")
+
+
 def shingle_components(docs: DataFrame, size: int = SIZE, part: int = PART) -> tuple[DataFrame, DataFrame, object]:
     """(rows, labels, counts): rows doc_id, s1, s2, n; labels node, root for the classes that have links."""
     spark = docs.sparkSession
@@ -252,17 +307,15 @@ def shingle_components(docs: DataFrame, size: int = SIZE, part: int = PART) -> t
     counts = spark.sparkContext.broadcast(bucket_counts(texts))  # BUCKETS numbers
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = texts.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows = staged(texts.mapInArrow(set_keys(counts, size), f"doc_id {kind}, th bigint, s1 bigint, s2 bigint, n bigint, shingles array<bigint>"), "sets")
-    classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
-    tokens = classes.select("s1", F.explode("shingles").alias("t"))
-    # classes by s1 alone here: two with one s1 share a block, nothing more
-    near = tokens.withColumn("b", F.min("s1").over(Window.partitionBy("t"))).where("s1 <> b").select(F.col("s1").alias("a"), "b")
-    blocks = staged(components(near), "blocks").select(F.col("node").alias("s1"), F.col("root").alias("block"))
+    rows = staged(texts.mapInArrow(set_keys(counts, size), f"doc_id {kind}, th bigint, s1 bigint, s2 bigint, n bigint"), "sets")
+    lists = "s1 bigint, s2 bigint, n bigint, shingles array<bigint>, fronts bigint"
+    distinct = lambda df: df.where("n > 0").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("fronts").alias("fronts"))
+    fronts = distinct(texts.select("text").mapInArrow(set_keys(counts, size, _front), lists))
+    blocks = staged(components(_chained(fronts)), "blocks").select(F.col("node").alias("s1"), F.col("root").alias("block"))
     # the sets of the classes in blocks are cut anew from one text each
-    pick = rows.join(blocks, "s1", "left_semi").groupBy("s1", "s2").agg(F.min("th").alias("th"))
-    again = texts.join(pick.select("th").distinct(), "th", "left_semi").select("text")
-    sets = again.mapInArrow(set_keys(counts, size, sets=True), "s1 bigint, s2 bigint, n bigint, shingles array<bigint>")
-    sets = sets.groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    pick = staged(rows.join(blocks, "s1", "left_semi").groupBy("s1", "s2").agg(F.min("th").alias("th")).select("th").distinct(), "picked")
+    again = texts.join(F.broadcast(pick) if pick.count() <= SMALL else pick, "th", "left_semi").select("text")
+    sets = distinct(again.mapInArrow(set_keys(counts, size, _whole), lists)).drop("fronts")
     sets = staged(sets.join(blocks, "s1"), "blocksets")
     parts = sets.groupBy("block").agg(F.ceil(F.sum("n") / part).alias("parts"), F.count("*").alias("members"))
     cut = sets.join(parts, "block").withColumn("draw", F.pmod(F.xxhash64("s1", "s2"), F.lit(1 << 40)))
@@ -340,8 +393,7 @@ def one_per_component(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(text: pa.Array, size: int) -> pa.Array:
-    flat = SimpleNamespace(value=np.zeros(BUCKETS, np.int64))
-    (batch,) = set_keys(flat, size)([pa.RecordBatch.from_arrays([text], ["text"])])
+    (batch,) = set_keys(None, size)([pa.RecordBatch.from_arrays([text], ["text"])])
     return pa.StructArray.from_arrays([batch.column(k) for k in (0, 1, 2)], ["s1", "s2", "n"])
 
 
