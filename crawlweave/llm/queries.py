@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from crawlweave.llm import decontaminate, hilbert, jaccard_trie, language, mixing, render, rlbwt, seed_extend, syncmers
+from crawlweave.llm import decontaminate, hilbert, jaccard_trie, language, line_dedup, mixing, render, rlbwt, seed_extend, syncmers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op9_jaccard_trie(spark, sf_dir):
     return jaccard_trie.component_report(table(spark, sf_dir, "documents"))
 
 
+def op10_line_join(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op7_closed_syncmers": op7_closed_syncmers,
     "op8_language": op8_language,
     "op9_jaccard_trie": op9_jaccard_trie,
+    "op10_line_join": op10_line_join,
     "pipeline": pipeline,
 }
 
