@@ -98,8 +98,9 @@ def split_by_repetition(texts: DataFrame, units: Callable, window: int, seed: in
     place = F.col("d") if across else F.struct("d", "k", "p")
     per = found.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), *([F.min("d").alias("d1"), F.max("d").alias("d2")] if across else [F.count("*").alias("m")]))
     shared = per.where("d1 < d2" if across else "m > 1").select("h", (F.col("c1") != F.col("c2")).alias("several"))
-    rows = staged(found.join(shared, "h"), "stretches")
-    first = rows.groupBy("h", "c").agg(F.min(place).alias("first"))
+    # written first, so that both sides of the joins are plain shuffles, of which a hot key's partitions can be split
+    rows = staged(found.join(staged(shared, "shared"), "h"), "stretches")
+    first = staged(rows.groupBy("h", "c").agg(F.min(place).alias("first")), "first")
     judged = rows.join(first, ["h", "c"]).withColumn("later", place > F.col("first"))
     judged = staged(judged.drop("first"), "judged")
     return judged.where("later").select("d", "k", "p", "n"), judged.where("not later and several").select("h", "d", "k", "p", "n")
