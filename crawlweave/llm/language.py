@@ -30,8 +30,9 @@ MAX_GRAMS = 5_000
 SIZES = (4, 3, 2, 1)
 #: Cost, in log units, of each step back to a shorter n-gram.
 BACKOFF = 0.4
-#: Documents whose best language has a smaller share than this are rejected by the pipeline, as are `und` ones.
-MIN_SCORE = 0.4
+#: Documents whose best language has a smaller share than this are rejected too, not only `und` ones. By default none
+#: are: a short text of rare words has a low share, but it has a language.
+MIN_SCORE = 0.0
 
 
 def training_rows(docs: DataFrame, rows_per_language: int) -> DataFrame:
