@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.inputs import HOST_OF, oracle, table
-from crawlweave.functions.html import ATTRIBUTE, BLOCK_TAGS, CHROME_PATTERN, ENTITIES, ENTITY_PIECE, HIDDEN_PATTERN, TOKEN, decode_entities
+from crawlweave.functions.html import BLOCK_TAGS, ENTITIES, decode_entities
 from crawlweave.functions.urls import filename_from_url
 from crawlweave.operators import extract, markdown
 
@@ -48,6 +48,22 @@ WS = r" \t\r\n\f"
 _TAG = r"(regexp_matches(raw, '\A<[a-zA-Z/]') and raw like '%>')"
 _NAME = r"lower(regexp_extract(raw, '\A</?([a-zA-Z][a-zA-Z0-9:\-]*)', 1))"
 _ATTRS = r"regexp_extract(raw, '(?s)\A</?[a-zA-Z][a-zA-Z0-9:\-]*(.*?)/?>\z', 1)"
+# the patterns of the SQL side, written for its own matcher
+_VALUE = r"""\x22[^\x22]*\x22|'[^']*'"""
+TOKEN = rf"<[a-zA-Z/][^\x22'>]*(?:(?:{_VALUE})[^\x22'>]*)*>|<[a-zA-Z/][^>]*>|<![^>]*>|<\?[^>]*>|[^<]+|<"
+ATTRIBUTE = rf"[^ \t\r\n\f=/\x22'>]+(?:[ \t\r\n\f]*=[ \t\r\n\f]*(?:{_VALUE}|[^ \t\r\n\f\x22'>]+))?"
+ENTITY_PIECE = "&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"
+
+
+def _part(name: str, content: str) -> str:
+    return rf"{name}(?:[ \t\r\n\f/][^>]*)?>{content}"
+
+
+_UNSEEN, _RAW, _AROUND = ["script", "style", "noscript", "template", "svg", "iframe"], ["script", "style", "iframe"], ["nav", "aside", "footer"]
+HIDDEN_PATTERN = "(?is)<(?:" + "|".join(
+    [r"!--.*?(?:-->|\z)", r"svg(?:[ \t\r\n\f/][^>]*)?/>", *[_part(n, f".*?</{n}[^>]*>") for n in _UNSEEN], *[_part(n, r".*\z" if n in _RAW else "") for n in _UNSEEN]]
+) + ")"
+CHROME_PATTERN = "(?is)<(?:" + "|".join([*[_part(n, f".*?</{n}[^>]*>") for n in _AROUND], *[_part(n, "") for n in _AROUND]]) + ")"
 _BLOCKS = "(" + ", ".join(q(t) for t in BLOCK_TAGS) + ")"
 
 
@@ -71,6 +87,10 @@ def words(x: str) -> str:
     return f"len(regexp_extract_all({x}, '[^{WS}]+'))"
 
 
+def text_words(x: str) -> str:
+    return words(f"regexp_replace({x}, '<[^>]*>', ' ', 'g')")
+
+
 def decode(x: str) -> str:
     names = ", ".join(f"'&{n};': chr({p})" for n, p in {**ENTITIES, "amp": 38}.items())
     point = ("case when lower(substr(p, 3, 1)) = 'x' then try_cast('0x' || substr(p, 4, length(p) - 4) as int) "
@@ -141,8 +161,9 @@ def region_sql(source: str) -> list[tuple[str, str]]:
         ("rc", f"select page_id, {drop_hidden('html')} as c from {source}"),
         ("ri", f"""select page_id, {inner('c', 'article')} as art, {inner('c', 'main')} as mn,
             case when regexp_matches(c, '(?i)<body[{WS}/>]') then {inner('c', 'body')} else {no_head} end as bd from rc"""),
-        ("rp", f"""select page_id, case when not ({blank('art')}) then 'article' when not ({blank('mn')}) then 'main' else 'body' end as rule,
-            case when not ({blank('art')}) then art when not ({blank('mn')}) then mn else bd end as pick from ri"""),
+        ("rw", f"select *, {text_words('art')} as aw, {text_words('mn')} as mw, {text_words(drop_chrome('bd'))} as bw from ri"),
+        ("ru", f"""select *, case when not ({blank('art')}) and aw * 3 >= bw then 'article' when not ({blank('mn')}) and mw * 3 >= bw then 'main' else 'body' end as rule from rw"""),
+        ("rp", "select page_id, rule, case rule when 'article' then art when 'main' then mn else bd end as pick from ru"),
         ("rr", f"select page_id, rule, case when {blank(drop_chrome('pick'))} then pick else {drop_chrome('pick')} end as html from rp"),
         ("rtok", tokens_sql("(select page_id, html from rr where rule = 'body')", "html")),
         ("rt1", f"""select *, case when tag in {_BLOCKS} then 1 else 0 end as brk,

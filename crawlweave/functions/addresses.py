@@ -68,7 +68,8 @@ def ip_is_private(column: str) -> Column:
     judged = (
         f"case when t rlike r'{IPV4}' then {_let(_octets('t'), 'o', _PRIVATE_V4)} when contains(t, ':') then {v6} end"
     )
-    return F.expr(_let(f"lower(trim({column}))", "t", judged))
+    # a zone, as in fe80::1%eth0, and a dot that ends a name don't change the address
+    return F.expr(_let(f"regexp_replace(lower(trim({column})), '(?:%.*|[.])$', '')", "t", judged))
 
 
 def is_ip_literal(host: Column) -> Column:

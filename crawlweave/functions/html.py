@@ -1,7 +1,6 @@
 """HTML as text: what is dropped, how it is cut into tokens, entities and attributes.
 
-All patterns take linear time on real pages and mean the same in Java and in RE2: no look-around,
-no back-references, explicit white space.
+All patterns take linear time on real pages: no look-around, no back-references, explicit white space.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ WS = r" \t\r\n\f"
 # Elements whose content is never text of the page, and elements that never belong to the article.
 HIDDEN = ["script", "style", "noscript", "template", "svg", "iframe"]
 CHROME = ["nav", "aside", "footer"]
+# Elements whose content is no markup: without an end they reach to the end of the page.
+RAW_TEXT = ["script", "style", "iframe"]
 
 # Tags that end a block of text.
 BLOCK_TAGS = [
@@ -35,24 +36,28 @@ ENTITIES = {
     "larr": 8592, "rarr": 8594, "minus": 8722,
 }
 
-# attributes with quoted values that may hold ">"; the bound keeps the matcher's stack flat
-_ATTRS = r"""[^\x22'>]*(?:(?:\x22[^\x22]*\x22|'[^']*')[^\x22'>]*){0,100}"""
+# attributes with quoted values that may hold ">", any number of them: the possessive group is matched in a loop, not on
+# the matcher's stack, and as a quote can't be passed otherwise it matches what the plain group would
+_ATTRS = r"""[^\x22'>]*(?:(?:\x22[^\x22]*\x22|'[^']*')[^\x22'>]*)*+"""
 TOKEN = rf"<[a-zA-Z/]{_ATTRS}>|<[a-zA-Z/][^>]*>|<![^>]*>|<\?[^>]*>|[^<]+|<"
 ATTRIBUTE = rf"""[^{WS}=/\x22'>]+(?:[{WS}]*=[{WS}]*(?:\x22[^\x22]*\x22|'[^']*'|[^{WS}\x22'>]+))?"""
-ENTITY_PIECE = r"&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"
+ENTITY_PIECE = r"&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"
 
 
 def _elements(names: list[str]) -> str:
-    return "|".join(rf"{n}(?:[{WS}/][^>]*)?>.*?(?:</{n}[^>]*>|\z)" for n in names)
+    """Elements with their content; of one that never ends only the start tag, unless its content isn't markup."""
+    whole = "|".join(rf"{n}(?:[{WS}/][^>]*)?>.*?</{n}[^>]*>" for n in names)
+    ends = {n: r".*\z" if n in RAW_TEXT else "" for n in names}
+    return whole + "|" + "|".join(rf"{n}(?:[{WS}/][^>]*)?>{ends[n]}" for n in names)
 
 
 # the common "<" comes first, so that the matcher tries the names at tags only
-HIDDEN_PATTERN = rf"(?is)<(?:!--.*?(?:-->|\z)|{_elements(HIDDEN)})"
+HIDDEN_PATTERN = rf"(?is)<(?:!--.*?(?:-->|\z)|svg(?:[{WS}/][^>]*)?/>|{_elements(HIDDEN)})"
 CHROME_PATTERN = rf"(?is)<(?:{_elements(CHROME)})"
 
 
 def drop_hidden(html: Column) -> Column:
-    """Without comments, scripts, styles and the like; an unclosed one reaches to the end."""
+    """Without comments, scripts, styles and the like; an unclosed comment or script reaches to the end."""
     return F.regexp_replace(html, HIDDEN_PATTERN, "")
 
 

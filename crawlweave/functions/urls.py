@@ -23,6 +23,8 @@ def url_struct(url: Column) -> Column:
     host = F.when(bracketed, F.regexp_extract(hostport, r"\A\[([^\]]*)\]", 1)).otherwise(
         F.regexp_extract(hostport, r"\A([^:]*)", 1)
     )
+    # neither a zone nor the dot that ends a full name makes another host
+    host = F.regexp_replace(host, r"(?:%.*|\.)\z", "")
     port = F.regexp_extract(hostport, r":([0-9]*)\z", 1)
     return F.struct(
         F.lower(part(1)).alias("scheme"),
@@ -36,6 +38,37 @@ def url_struct(url: Column) -> Column:
     )
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path with its "." and ".." segments worked off (RFC 3986, 5.2.4)."""
+    segments = F.split(F.regexp_replace(path, r"\A/", ""), "/", -1)
+
+    def step(done: Column, s: Column) -> Column:
+        return F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+
+    done = F.aggregate(segments, F.expr("cast(array() as array<string>)"), step)
+    closed = F.concat(F.lit("/"), F.array_join(done, "/"), F.when(path.rlike(r"/\.\.?\z") & ~F.array_join(done, "/").isin(""), "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(?:/|\z)"), closed).otherwise(path)
+
+
+def resolve_url(ref: Column, base_url: Column) -> Column:
+    """Absolute form of a reference (RFC 3986, 5.2); null if it is empty, not a web address or has no base to stand on."""
+    base = url_struct(base_url)
+    origin = F.when((base["scheme"] != "") & (base["hostport"] != ""), F.concat(base["scheme"], F.lit("://"), base["hostport"]))
+    folder = F.when(base["path"] == "", "/").otherwise(F.regexp_replace(base["path"], r"[^/]*\z", ""))
+    path = F.regexp_extract(ref, r"(?s)\A([^?#]*)", 1)
+    rest = F.regexp_extract(ref, r"(?s)\A[^?#]*(.*)\z", 1)
+    return (
+        F.when(ref.isNull() | (ref == ""), F.lit(None))
+        .when(ref.rlike(r"\A[hH][tT][tT][pP][sS]?://"), ref)
+        .when(ref.rlike(r"\A[a-zA-Z][a-zA-Z0-9+.\-]*:"), F.lit(None))
+        .when(ref.startswith("//"), F.concat(base["scheme"], F.lit(":"), ref))
+        .when(ref.startswith("/"), F.concat(origin, without_dots(path), rest))
+        .when(ref.startswith("?"), F.concat(origin, base["path"], ref))
+        .when(ref.startswith("#"), F.concat(F.regexp_replace(base_url, r"(?s)#.*\z", ""), ref))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def is_unparsable(url: Column) -> Column:
     """Control characters, blanks in the authority, broken escapes or a port that is no number."""
     authority = F.regexp_extract(url, URL_SPLIT, 2)

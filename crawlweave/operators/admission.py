@@ -92,7 +92,7 @@ def dns_guard(df: DataFrame, resolutions: DataFrame, allow_private: bool = False
     )
     blocked = code.isNull() & F.col("_bad_ip").isNotNull()
     return (
-        df.join(private_hosts(resolutions), "host", "left")
+        df.join(private_hosts(resolutions.withColumn("host", F.regexp_replace("host", r"\.\z", ""))), "host", "left")
         .withColumn("_bad_ip", bad_ip)
         .select(
             *keep,

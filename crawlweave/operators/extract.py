@@ -126,6 +126,15 @@ def _inner(html: Column, tag: str) -> Column:
     return F.regexp_replace(tail, rf"(?is)\A(.*)</{tag}.*\z", "$1")
 
 
+def _text_words(html: Column) -> Column:
+    return word_count(F.regexp_replace(html, "<[^>]*>", " "))
+
+
+def _holds_the_text(html: Column, body: Column) -> Column:
+    """An element marked as the article is believed if a third of the page's words are in it; a card beside the text isn't."""
+    return ~is_blank(html) & (_text_words(html) * 3 >= _text_words(body))
+
+
 def region_candidates(pages: DataFrame, cleaned: bool = False) -> DataFrame:
     """Add ``region`` and ``rule`` (article, main, body) by tags alone; ``html`` is dropped. No shuffle.
 
@@ -142,12 +151,16 @@ def region_candidates(pages: DataFrame, cleaned: bool = False) -> DataFrame:
     # one select per step: each pattern runs once per page
     return (
         pages.select(*keep, (F.col("html") if cleaned else drop_hidden(F.col("html"))).alias("_clean"))
-        .select(*keep, "_clean", _inner(clean, "article").alias("_article"))
-        .select(*keep, "_clean", "_article", F.when(is_blank(article), _inner(clean, "main")).alias("_main"))
+        .select(*keep, _inner(clean, "article").alias("_article"), _inner(clean, "main").alias("_main"), body.alias("_body"))
+        .select(*keep, "_article", "_main", "_body", drop_chrome(F.col("_body")).alias("_rest"))
+        .select(
+            *keep, "_article", "_main", "_body",
+            F.when(_holds_the_text(article, F.col("_rest")), "article")
+            .when(_holds_the_text(main, F.col("_rest")), "main").otherwise("body").alias("rule"),
+        )
         .select(
-            *keep,
-            F.when(main.isNull(), "article").when(~is_blank(main), "main").otherwise("body").alias("rule"),
-            F.when(main.isNull(), article).when(~is_blank(main), main).otherwise(body).alias("_pick"),
+            *keep, "rule",
+            F.when(F.col("rule") == "article", article).when(F.col("rule") == "main", main).otherwise(F.col("_body")).alias("_pick"),
         )
         .select(*keep, "rule", "_pick", drop_chrome(F.col("_pick")).alias("_bare"))
         .select(*keep, "rule", F.when(is_blank(F.col("_bare")), F.col("_pick")).otherwise(F.col("_bare")).alias("region"))

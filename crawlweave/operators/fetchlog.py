@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlweave.functions.codes import ERROR_CODES, MESSAGES, PERMANENT, error_text
+from crawlweave.functions.urls import resolve_url
 from crawlweave.operators.admission import dns_guard, url_guard
 from crawlweave.options import DEFAULTS
 
@@ -24,10 +25,9 @@ def classify_response(df: DataFrame, max_bytes: int = DEFAULTS.max_html_bytes) -
     size = F.col("n_bytes") if "n_bytes" in df.columns else F.octet_length("html")
     known = F.col("error_code") if "error_code" in df.columns else F.lit(None).cast("string")
     code = F.coalesce(known, response_code(F.col("status"), size, max_bytes))
-    return df.withColumn("error_code", code).withColumn(
-        "error_detail",
-        F.when(F.col("error_code").startswith("http_"), F.concat(F.lit("HTTP "), F.col("status").cast("string"))),
-    )
+    detail = F.col("error_detail") if "error_detail" in df.columns else F.lit(None).cast("string")
+    status = F.when(F.col("error_code").startswith("http_"), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+    return df.withColumn("error_code", code).withColumn("error_detail", F.coalesce(detail, status))
 
 
 def retry_outcome(fetch_log: DataFrame, max_retries: int = DEFAULTS.max_retries,
@@ -100,9 +100,13 @@ def hop_chains(hops: DataFrame, resolutions: DataFrame | None = None, blocked_ho
                max_redirects: int = DEFAULTS.max_redirects) -> DataFrame:
     """Where each redirecting ``url`` ends: final_url, n_redirects, error_code, error_detail.
 
-    ``max_redirects`` self-joins of the hop table; every hop target is guarded first.
+    ``max_redirects`` self-joins of the hop table; every hop target is guarded first. Targets may be relative to
+    ``url``. Of several targets the newest counts if hops have ``ts``, otherwise the first in order.
     """
-    edges = hops.groupBy("url").agg(F.min("location").alias("_to"))
+    target = F.max_by("location", F.struct("ts", "location")) if "ts" in hops.columns else F.min("location")
+    edges = hops.groupBy("url").agg(target.alias("_to"))
+    # what can't be resolved is left as it is, for the guard to refuse
+    edges = edges.withColumn("_to", F.coalesce(resolve_url(F.col("_to"), F.col("url")), "_to"))
     guarded = url_guard(edges, blocked_hosts=blocked_hosts, url="_to")
     if resolutions is not None:
         guarded = dns_guard(guarded, resolutions)

@@ -5,27 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlweave.functions.urls import ext_from_mime, safe_stem, url_struct
+from crawlweave.functions.urls import ext_from_mime, resolve_url, safe_stem, url_struct
 from crawlweave.operators.output import remaining_images
 from crawlweave.options import DEFAULTS
 
 
-def resolve_url(ref: Column, page_url: Column) -> Column:
-    """Absolute form of a reference; null if it cannot be resolved or is not a web address."""
-    base = url_struct(page_url)
-    origin = F.when((base["scheme"] != "") & (base["hostport"] != ""), F.concat(base["scheme"], F.lit("://"), base["hostport"]))
-    folder = F.when(base["path"] == "", "/").otherwise(F.regexp_replace(base["path"], r"[^/]*\z", ""))
-    return (
-        F.when(ref.isNull() | (ref == ""), F.lit(None))
-        .when(ref.rlike(r"\A[hH][tT][tT][pP][sS]?://"), ref)
-        .when(ref.rlike(r"\A[a-zA-Z][a-zA-Z0-9+.\-]*:"), F.lit(None))
-        .when(ref.startswith("//"), F.concat(base["scheme"], F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(origin, ref))
-        .when(ref.startswith("?"), F.concat(origin, base["path"], ref))
-        .otherwise(F.concat(origin, folder, F.regexp_replace(ref, r"\A(?:\./)+", "")))
-    )
-
-
 def resolve_image_urls(refs: DataFrame) -> DataFrame:
     """Add ``image_url``; references that cannot be resolved are dropped. ``refs`` has src and url."""
     return refs.withColumn("image_url", resolve_url(F.col("src"), F.col("url"))).where("image_url IS NOT NULL")

@@ -9,6 +9,11 @@ from crawlweave.functions.urls import cache_key
 from crawlweave.options import DEFAULTS, MAX_IMAGE_COUNT, MAX_IMAGE_SIDE, MAX_TEXT_LENGTH, MIN_IMAGE_SIDE, Options
 
 _INT_MAX = 2_147_483_647
+# Names of the arguments.
+_PATHS = [
+    "$.url", "$.text.maxLength", "$.text.startIndex", "$.text.raw", "$.images", "$.images.output", "$.images.maxCount", "$.images.startIndex",
+    "$.images.size.maxWidth", "$.images.size.maxHeight", "$.images.size.quality", "$.images.originPolicy", "$.images.layout", "$.security.ignoreRobotsTxt",
+]
 
 
 def parse_requests(df: DataFrame, json_col: str = "args", options: Options = DEFAULTS) -> DataFrame:
@@ -16,26 +21,30 @@ def parse_requests(df: DataFrame, json_col: str = "args", options: Options = DEF
 
     ``images`` is a switch or an object; an object switches images on.
     """
-    parsed = F.try_parse_json(F.col(json_col))
+    kept = [c for c in df.columns if c != json_col]
+    # parsed once, each path read once: the selects stay apart, as their columns are used more than once
+    df = df.select(*kept, F.try_parse_json(F.col(json_col)).alias("_json"))
+    df = df.select(*kept, *[F.try_variant_get("_json", p, "variant").alias(f"_{p}") for p in _PATHS])
+    df = df.select(*kept, *[F.col(f"`_{p}`") for p in _PATHS], *[F.schema_of_variant(F.col(f"`_{p}`")).alias(f"_kind_{p}") for p in _PATHS])
 
     def kind(path: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
+        return F.col(f"`_kind_{path}`")
 
     def text(path: str) -> Column:
-        return F.when(kind(path) == "STRING", F.try_variant_get(parsed, path, "string"))
+        return F.when(kind(path) == "STRING", F.try_variant_get(F.col(f"`_{path}`"), "$", "string"))
 
     def flag(path: str) -> Column:
-        return F.when(kind(path) == "BOOLEAN", F.try_variant_get(parsed, path, "boolean"))
+        return F.when(kind(path) == "BOOLEAN", F.try_variant_get(F.col(f"`_{path}`"), "$", "boolean"))
 
     def whole(path: str) -> Column:
-        number = F.try_variant_get(parsed, path, "double")
+        number = F.try_variant_get(F.col(f"`_{path}`"), "$", "double")
         bounded = F.least(F.greatest(number, F.lit(float(-_INT_MAX))), F.lit(float(_INT_MAX)))
         return F.when(kind(path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), bounded.cast("int"))
 
     output = text("$.images.output")
     url = F.coalesce(text("$.url"), F.lit(""))
     return df.select(
-        *[c for c in df.columns if c != json_col],
+        *kept,
         url.alias("url"),
         F.coalesce(whole("$.text.maxLength"), F.lit(options.text_length)).alias("max_length"),
         F.coalesce(whole("$.text.startIndex"), F.lit(0)).alias("start_index"),

@@ -6,10 +6,6 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
-def pytest_addoption(parser):
-    parser.addoption("--oracles", action="store_true", help="also run every registered query beside its SQL")
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
