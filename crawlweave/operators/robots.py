@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlweave.operators.spread import left_join_spread
+
 from crawlweave.functions.times import US_PER_S
 from crawlweave.operators.ordered import newest_within
 from crawlweave.options import DEFAULTS
@@ -154,4 +156,5 @@ def robots_gate(requests: DataFrame, snapshots: DataFrame, agent: str = DEFAULTS
               & (rule_verdict(F.col("rules"), path) == "disallow"), "disallowed")
         .otherwise("allowed")
     )
-    return requests.join(files, "robots_id", "left").select(*requests.columns, verdict.alias("robots_verdict"))
+    joined = left_join_spread(requests, files, "robots_id") if "request_id" in requests.columns else requests.join(files, "robots_id", "left")
+    return joined.select(*requests.columns, verdict.alias("robots_verdict"))

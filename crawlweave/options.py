@@ -15,6 +15,7 @@ BROWSER_AGENT = (
 )
 
 
+# The defaults below.
 @dataclass(frozen=True)
 class Options:
     timeout_ms: int = 12_000
@@ -35,6 +36,9 @@ class Options:
     image_max_height: int = 1600
     image_quality: int = 80
     user_agent: str = BROWSER_AGENT
+    allow_localhost: bool = False
+    allow_private: bool = False
+    limit_rate: bool = True
 
 
 DEFAULTS = Options()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlweave.durability import durable
+from crawlweave.functions.times import epoch_us
 from crawlweave.operators.admission import dns_guard, url_guard, url_parts
 from crawlweave.operators.extract import extract_pages
 from crawlweave.operators.fetchlog import error_messages, hop_chains, retry_outcome
@@ -15,6 +16,7 @@ from crawlweave.operators.output import format_results, paginate, remaining_imag
 from crawlweave.operators.rate import rate_limit_admission
 from crawlweave.operators.requests import parse_requests, validate_requests, with_cache_key
 from crawlweave.operators.robots import robots_asof, robots_gate
+from crawlweave.operators.spread import left_join_spread
 from crawlweave.options import DEFAULTS, Options
 
 RESULT_COLUMNS = [
@@ -27,9 +29,9 @@ def admitted_requests(requests: DataFrame, resolutions: DataFrame | None = None,
                       blocked_hosts: DataFrame | None = None, options: Options = DEFAULTS) -> DataFrame:
     """Parse, check the limits and guard every URL. Row by row but for the two host look-ups."""
     parsed = validate_requests(parse_requests(requests, options=options))
-    guarded = url_guard(parsed, blocked_hosts=blocked_hosts)
+    guarded = url_guard(parsed, options.allow_localhost, blocked_hosts=blocked_hosts)
     if resolutions is not None:
-        guarded = dns_guard(guarded, resolutions)
+        guarded = dns_guard(guarded, resolutions, options.allow_private)
     parts = url_parts(guarded.drop("host"))
     return with_cache_key(parts.drop("scheme", "port", "origin", "query", "robots_url"))
 
@@ -48,7 +50,7 @@ def answers(requests: DataFrame, extracted: DataFrame) -> DataFrame:
         F.col("page_id").alias("found_page"), "title", F.col("content").alias("_html"), "markdown",
         F.size("images").alias("_images"), F.col("error_code").alias("_page_code"),
     )
-    joined = requests.join(texts, "found_page", "left")
+    joined = left_join_spread(requests, texts, "found_page")
     joined = _fails(joined, F.col("found_page").isNull(), "fetch_failed", F.lit("no landed page"))
     joined = _fails(joined, F.col("_page_code").isNotNull(), F.col("_page_code"), F.lit(None).cast("string"))
     failed = F.col("error_code").isNotNull()
@@ -70,12 +72,10 @@ def fetch_flow(requests: DataFrame, pages: DataFrame | None, *, extracted: DataF
     """One answer or error per request.
 
     ``requests`` has request_id, ts and args (JSON). Every URL is guarded, also one that a stored
-    snapshot could answer. A hit skips the rate limit, robots and the fetch outcome. Page texts
-    are worked out once per page and meet the narrow request rows in the last join; pass ``extracted``
-    to use stored ones. ``newest`` and ``limit`` are the as-of join and the rate limit to use.
+    snapshot could answer. A hit skips the rate limit, robots and the fetch outcome. The text of a
+    page is worked out only if a request gets it, and once; pass ``extracted`` to use stored
+    texts. ``newest`` and ``limit`` are the as-of join and the rate limit to use.
     """
-    if extracted is None:
-        extracted = extract_pages(pages, options.max_html_bytes)
     rows = admitted_requests(requests, resolutions, blocked_hosts, options)
     if snapshots is not None:
         rows = fresh_snapshot(rows, snapshots, options.cache_ttl_s, newest).drop("age_us")
@@ -83,17 +83,14 @@ def fetch_flow(requests: DataFrame, pages: DataFrame | None, *, extracted: DataF
     else:
         rows = rows.withColumn("snapshot_id", F.lit(None).cast("bigint")).withColumn("from_cache", F.lit(False))
 
-    # rows that do not fetch wait for nobody: each is its own rate group
-    fetches = F.col("error_code").isNull() & ~F.col("from_cache")
-    rows = rows.withColumn(
-        "rate_key", F.when(fetches, F.col("host")).otherwise(F.concat(F.lit("\x00"), F.col("request_id").cast("string")))
-    )
     if not rows.isStreaming:
-        # the rate limit uses the rows twice; cut here, parsing, guards and freshness run once
+        # the rate limit uses the rows more than once; cut here, parsing, guards and freshness run once
         rows = durable(rows)
-    rows = limit(
-        rows, options.rate_per_second, options.rate_burst, host="rate_key", ts="ts"
-    ).drop("rate_key", "arrival_us", "wait_us")
+    # rows that do not fetch wait for nobody and leave no state behind
+    fetches = F.col("error_code").isNull() & ~F.col("from_cache") & F.col("host").isNotNull() & F.lit(options.limit_rate)
+    waiting, others = rows.where(fetches), rows.where(~fetches).withColumn("admitted_us", epoch_us("ts"))
+    waiting = limit(waiting, options.rate_per_second, options.rate_burst, host="host", ts="ts").drop("arrival_us", "wait_us")
+    rows = waiting.unionByName(others)
 
     if robots_snapshots is not None:
         rows = robots_asof(rows, robots_snapshots, options.robots_ttl_s, newest).drop("robots_age_us")
@@ -125,19 +122,29 @@ def fetch_flow(requests: DataFrame, pages: DataFrame | None, *, extracted: DataF
         rows = _fails(rows, ~F.col("from_cache") & F.col("_out_code").isNotNull(), F.col("_out_code"), F.col("_out_detail"))
         rows = rows.drop("_out_code", "_out_detail")
 
-    return answers(_with_page(rows, extracted if pages is None else pages, snapshots), extracted)
+    rows = _with_page(rows, extracted if pages is None else pages, snapshots)
+    if extracted is None:
+        if not rows.isStreaming:
+            rows = durable(rows)
+        wanted = rows.where("found_page is not null").select(F.col("found_page").alias("page_id")).distinct()
+        extracted = extract_pages(pages.join(wanted, "page_id", "left_semi"), options.max_html_bytes)
+    return answers(rows, extracted)
 
 
 def _with_page(rows: DataFrame, pages: DataFrame, snapshots: DataFrame | None) -> DataFrame:
-    """Add ``found_page``: of the snapshot for a hit, of the final URL for a fetch, none for an error."""
+    """Add ``found_page``: of the snapshot for a hit, of the final URL for a fetch, none for an error.
+
+    Of several pages of a URL the newest counts if pages have ``fetched_at``, otherwise the greatest id.
+    """
     good = F.col("error_code").isNull()
-    landed = pages.groupBy(F.col("url").alias("final_url")).agg(F.max("page_id").alias("_landed"))
+    newest = F.max_by("page_id", F.struct("fetched_at", "page_id")) if "fetched_at" in pages.columns else F.max("page_id")
+    landed = pages.groupBy(F.col("url").alias("final_url")).agg(newest.alias("_landed"))
     rows = rows.join(landed, "final_url", "left")
     if snapshots is None:
         return rows.withColumn("found_page", F.when(good, F.col("_landed"))).drop("_landed")
     stored = snapshots.select("snapshot_id", F.col("page_id").alias("_stored"))
     return (
-        rows.join(stored, "snapshot_id", "left")
+        left_join_spread(rows, stored, "snapshot_id")
         .withColumn("found_page", F.when(good, F.when(F.col("from_cache"), F.col("_stored")).otherwise(F.col("_landed"))))
         .drop("_landed", "_stored")
     )
