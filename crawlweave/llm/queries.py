@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from crawlweave.llm import decontaminate, hilbert, jaccard_trie, language, line_dedup, mixing, render, rlbwt, seed_extend, syncmers
+from crawlweave.llm import decontaminate, hilbert, jaccard_trie, language, line_dedup, mixing, oracles, render, rlbwt, seed_extend, syncmers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,4 +70,5 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+#: Without SQL: 3 (checksums), 5 (a tree), 6 and 7 (64-bit hashes), 8 (a trained model), pipeline; tests/llm has plain versions.
+ORACLES: dict[str, str] = oracles.ORACLES

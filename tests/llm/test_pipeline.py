@@ -2,7 +2,12 @@
 
 from collections import Counter
 
+import duckdb
+import pytest
+
 import corpus_pipeline
+from checks.compare import compare
+from crawlweave.llm import oracles, queries
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +50,12 @@ def test_registered():
 
     names = set(entry.queries())
     assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2:3].isdigit()} == set(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    ok, text = compare(spark, con, SF, name, queries.QUERIES[name], oracles.ORACLES[name])
+    assert ok, text
