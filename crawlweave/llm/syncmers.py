@@ -117,7 +117,8 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("d"), text.alias("text"))
+    # both readers of the dealt texts take the same two columns, so that one shuffle serves them
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("d"), text.alias("text"))
     ids = texts.groupBy("d").agg(F.max(F.floor(F.length("text") / 4)).alias("wanted"), F.min(F.xxhash64("text")).alias("x"))
     after = staged(_successors(ids), "successors")
     dealt = texts.repartition(n, "d")
@@ -125,7 +126,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     heads = after.select(F.col("next").alias("d"), F.col("d").alias("before"), "wanted")
     heads = heads.join(after.select("d", "x"), "d")
     moved = dealt.join(heads, "d").where(F.xxhash64("text") == F.col("x"))
-    moved = moved.select(F.col("before").alias("d"), F.substring(F.col("text"), F.lit(1), F.col("wanted").cast("int")).alias("head"), "doc_id")
+    moved = moved.select(F.col("before").alias("d"), F.substring(F.col("text"), F.lit(1), F.col("wanted").cast("int")).alias("head"))
     moved = moved.groupBy("d").agg(F.first("head").alias("head"))
     rows = dealt.join(moved, "d").withColumn("n_chars", F.length("text").cast("bigint"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
@@ -136,11 +137,12 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("kept")), F.col("tail"))
     rows = rows.withColumn("edited", edited).withColumn("seam", sketches(seam, F.lit(0))["whole"])
     done = rows.select(
-        "doc_id", "d", F.xxhash64("text").alias("x"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), short(F.col("text"), F.col("sk")["whole"]).alias("own"),
+        "d", F.xxhash64("text").alias("x"), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), short(F.col("text"), F.col("sk")["whole"]).alias("own"),
         short(F.col("edited"), lowest(F.concat(F.col("sk")["head"], F.col("seam")))).alias("new"),
     )
     done = staged(done, "fingerprints")
     following = after.select("d", "next")
     lead = done.join(after.select("d", "x"), ["d", "x"]).groupBy(F.col("d").alias("next")).agg(F.first("own").alias("following"))
     out = done.join(following, "d").join(lead, "next")
-    return out.select("doc_id", "n_chars", "edited_sha256", digits(F.col("own")).alias("fingerprint"), digits(F.col("new")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))
+    doc_id = F.when(F.col("d") != _LAST, F.col("d")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return out.select(doc_id, "n_chars", "edited_sha256", digits(F.col("own")).alias("fingerprint"), digits(F.col("new")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))
