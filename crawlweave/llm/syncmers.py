@@ -43,21 +43,15 @@ def piece_anchors(piece: Column) -> Column:
     """array<struct<at, hash>>: closed syncmers of a string with their 0-based places."""
     span = K - S  # a k-mer has span + 1 inner substrings
 
-    def least(h: Column, of: int) -> Column:
-        if of == 1:
-            return h
-        half = of // 2
-        return let(least(h, half), lambda m: F.zip_with(m, F.slice(m, half + 1, F.greatest(F.size(m) - half, F.lit(0))), lambda x, y: F.least(x, y)))
+    def chosen(h: Column) -> Column:
+        def judge(first: Column, i: Column) -> Column:
+            last, inner = F.get(h, i + span), [F.get(h, i + j) for j in range(1, span)]
+            return F.when(F.least(*inner) >= F.least(first, last), F.struct(i.alias("at"), _hash(first, last).alias("hash")))
 
-    def chosen(h: Column, low: Column) -> Column:
-        def judge(m: Column, i: Column) -> Column:
-            first, last = F.get(h, i), F.get(h, i + span)
-            return F.when((first == m) | (last <= m), F.struct(i.alias("at"), _hash(first, last).alias("hash")))
-
-        return F.array_compact(F.transform(F.slice(low, 1, F.greatest(F.size(h) - span, F.lit(0))), judge))
+        return F.array_compact(F.transform(F.slice(h, 1, F.greatest(F.size(h) - span, F.lit(0))), judge))
 
     grams = F.regexp_extract_all(piece, F.lit(f"(?s)(?=(.{{{S}}}))."), F.lit(1))
-    return let(F.transform(grams, lambda g: F.xxhash64(g)), lambda h: let(least(h, span), lambda low: chosen(h, low)))
+    return let(F.transform(grams, lambda g: F.xxhash64(g)), chosen)
 
 
 def anchors(text: Column) -> Column:
