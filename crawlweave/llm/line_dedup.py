@@ -103,23 +103,21 @@ def kept_classes(docs: DataFrame) -> DataFrame:
     prefix = F.slice("h", 1, (F.col("n") - F.ceil(F.col("n") * OVER / UNDER) + 1).cast("int"))
     hashed = hashed.select("d", "i", "n", "bits", F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2"), prefix.alias("prefix"))
     classes = hashed.groupBy("s1", "s2").agg(F.min(F.struct("d", "i")).alias("place"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    classes = classes.select("place.d", "place.i", "n", "bits", "prefix")
+    classes = staged(classes.select("place.d", "place.i", "n", "bits", "prefix"), "classes")
     entries = classes.select("d", "i", "n", "bits", F.posexplode("prefix").alias("at", "t"))
-    entries = entries.select("t", F.struct("d", "i").alias("place"), F.struct("n", "at", "bits").alias("set"))
-    several = staged(entries.withColumn("c", F.count("*").over(Window.partitionBy("t"))).where("c > 1").drop("c"), "entries")
-    earliest = several.groupBy("t").agg(F.min_by(F.struct("place", "set"), "place").alias("first"))
-    first = several.join(earliest, "t").select("place", "set", F.col("first.place").alias("place2"), F.col("first.set").alias("set2"))
-    first = first.where((F.col("place") > F.col("place2")) & _possible("set", "set2"))
-    flat = lambda df: staged(df.select("place.d", "place.i", F.col("place2.d").alias("d2"), F.col("place2.i").alias("i2")).distinct(), "pairs")
-    matched = _verified(lines, flat(first))
-    left = several.select("t", "place", "set", "place.d", "place.i")
-    left = _semi(left, matched, ["d", "i"], "left_anti").select("t", "place", "set")
-    right = several.select("t", F.col("place").alias("place2"), F.col("set").alias("set2"))
-    rest = left.join(right.hint("merge"), (left["t"] == right["t"]) & (F.col("place") > F.col("place2")) & _possible("set", "set2"))
-    matched = staged(matched.unionByName(_verified(lines, flat(rest))), "matched")
-    # the classes once more, without their words
-    firsts = hashed.groupBy("s1", "s2").agg(F.min(F.struct("d", "i")).alias("place")).select("place.d", "place.i")
-    return firsts.join(matched, ["d", "i"], "left_anti")
+    by_word = Window.partitionBy("t")
+    # a word's earliest entry and their number come from the shuffle by word that the entries need anyway
+    place, entry = F.struct("d", "i"), F.struct("d", "i", "n", "at", "bits")
+    first = entries.withColumn("e", F.min(entry).over(by_word)).where(place > F.struct("e.d", "e.i"))
+    first = first.select("d", "i", F.struct("n", "at", "bits").alias("set"), F.col("e.d").alias("d2"), F.col("e.i").alias("i2"), F.struct("e.n", "e.at", "e.bits").alias("set2"))
+    matched = _verified(lines, staged(first.where(_possible("set", "set2")).select("d", "i", "d2", "i2").distinct(), "pairs"))
+    flat = entries.select("t", "d", "i", "n", "at", "bits")
+    left = _semi(flat, matched, ["d", "i"], "left_anti").select("t", "d", "i", F.struct("n", "at", "bits").alias("set"))
+    right = flat.select(F.col("t").alias("t2"), F.col("d").alias("d2"), F.col("i").alias("i2"), F.struct("n", "at", "bits").alias("set2"))
+    earlier = (F.col("d") > F.col("d2")) | ((F.col("d") == F.col("d2")) & (F.col("i") > F.col("i2")))
+    rest = left.hint("merge").join(right, (F.col("t") == F.col("t2")) & earlier & _possible("set", "set2"))
+    rest = _verified(lines, staged(rest.select("d", "i", "d2", "i2").distinct(), "pairs"))
+    return classes.select("d", "i").join(staged(matched.unionByName(rest), "matched"), ["d", "i"], "left_anti")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
