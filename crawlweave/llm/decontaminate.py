@@ -94,23 +94,22 @@ class Scanner:
 _HITS = "struct<n_words:bigint,ranges:array<struct<low:bigint,high:bigint>>,items:array<string>>"
 
 
+_HITS_TYPE = pa.struct([("n_words", pa.int64()), ("ranges", pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), ("items", pa.list_(pa.string()))])
+
+
 def _scanning(patterns: list[tuple[bytes, list[str]]]):
     key = hashlib.sha256(repr(patterns).encode()).hexdigest()
 
-    @F.pandas_udf(_HITS)
-    def scan(text, before):
-        import pandas as pd
-
+    @F.arrow_udf(_HITS)
+    def scan(text: pa.Array, before: pa.Array) -> pa.Array:
         scanner = Scanner.of(key, patterns)
-        out = {"n_words": [], "ranges": [], "items": []}
-        for t, low, high, items in zip(text, before["low"], before["high"], before["items"], strict=True):
-            words = normal_words(t)
+        out = []
+        for t, past in zip(text, before, strict=True):
+            words, past = normal_words(t.as_py()), past.as_py()
             ranges, found = scanner.scan(words)
-            ranges += list(zip(low, high, strict=True))
-            out["n_words"].append(len(words))
-            out["ranges"].append([{"low": a, "high": b} for a, b in ranges])
-            out["items"].append(sorted(found | set(items)))
-        return pd.DataFrame(out)
+            ranges += zip(past["low"], past["high"], strict=True)
+            out.append({"n_words": len(words), "ranges": [{"low": a, "high": b} for a, b in ranges], "items": sorted(found.union(past["items"]))})
+        return pa.array(out, _HITS_TYPE)
 
     return scan
 

@@ -54,6 +54,13 @@ def prefix_sums(data: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sums
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches a few rows at a time, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @dataclass
 class Texts:
     """A run of rows of a batch: their bytes and where each begins (one more offset than rows)."""

@@ -126,25 +126,19 @@ def set_keys(counts, size: int = SIZE, choose=None):
 
     def keys(batches):
         for batch in batches:
-            columns = [[], [], []]
-            chosen, ends, fronts = [], [], []
-            for _, hashes, at in shingle_sets(batch.column(batch.num_columns - 1), size):
+            last = batch.num_columns - 1
+            for first, hashes, at in shingle_sets(batch.column(last), size):
                 n = np.diff(at)
-                for out, own in zip(columns, [*_signature(hashes, at), n], strict=True):
-                    out.append(own)
+                own = [*batch.slice(first, len(n)).columns[:last], *(pa.array(c) for c in (*_signature(hashes, at), n))]
+                names = [*batch.schema.names[:last], "s1", "s2", "n"]
                 if choose:
                     rows = np.repeat(np.arange(len(n)), n)
                     hashes = hashes[in_order(counts.value, hashes, rows)]
-                    for out, own in zip((chosen, ends, fronts), choose(counts.value, hashes, rows, at), strict=True):
-                        out.append(own)
-            join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-            own, names = [*batch.columns[:-1], *(pa.array(join(c, np.int64)) for c in columns)], [*batch.schema.names[:-1], "s1", "s2", "n"]
-            if choose:
-                offsets = np.concatenate([[0], np.cumsum(join(ends, np.int64))]).astype(np.int32)
-                values = np.concatenate(chosen) if chosen else np.empty(0, _U)
-                own += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(values))), pa.array(join(fronts, np.int64))]
-                names += ["shingles", "fronts"]
-            yield pa.RecordBatch.from_arrays(own, names)
+                    values, ends, fronts = choose(counts.value, hashes, rows, at)
+                    offsets = np.concatenate([[0], np.cumsum(ends)]).astype(np.int32)
+                    own += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(values))), pa.array(fronts)]
+                    names += ["shingles", "fronts"]
+                yield pa.RecordBatch.from_arrays(own, names)
 
     return keys
 
@@ -393,8 +387,8 @@ def one_per_component(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(text: pa.Array, size: int) -> pa.Array:
-    (batch,) = set_keys(None, size)([pa.RecordBatch.from_arrays([text], ["text"])])
-    return pa.StructArray.from_arrays([batch.column(k) for k in (0, 1, 2)], ["s1", "s2", "n"])
+    keys = pa.Table.from_batches(set_keys(None, size)([pa.RecordBatch.from_arrays([text], ["text"])]), pa.schema([(c, pa.int64()) for c in ("s1", "s2", "n")]))
+    return pa.StructArray.from_arrays([keys[c].combine_chunks() for c in ("s1", "s2", "n")], ["s1", "s2", "n"])
 
 
 def signature(size: int = SIZE):

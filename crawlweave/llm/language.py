@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from crawlweave.llm.hashing import in_slices
 from crawlweave.llm.staging import fresh, staged
 
 ROWS_PER_LANGUAGE = 4_000
@@ -75,23 +76,23 @@ def _flushed(totals: Counter) -> pa.RecordBatch:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: Counter = Counter()
-    for batch in batches:
+    for batch in in_slices(batches):
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for word, n in letters_and_words(text).items():
                 totals[lang, 0, word] += n
-            if len(totals) > 300_000:
+            if len(totals) > 50_000:
                 yield _flushed(totals)
     yield _flushed(totals)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: Counter = Counter()
-    for batch in batches:
+    for batch in in_slices(batches):
         for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             for size in SIZES:
                 for gram in grams(word, size):
                     totals[lang, size, gram] += n
-        if len(totals) > 300_000:
+        if len(totals) > 50_000:
             yield _flushed(totals)
     yield _flushed(totals)
 
@@ -142,7 +143,7 @@ def predict_one(model: dict, text: str | None, cache: dict) -> tuple[str, float]
     for word, n in words.items():
         scores = cache.get(word, 0)
         if scores == 0:
-            if len(cache) > 200_000:
+            if len(cache) > 50_000:
                 cache.clear()
             scores = cache[word] = word_scores(model, word)
         if scores is not None:
@@ -161,11 +162,10 @@ def predictor(model: dict):
     """A column function text -> struct(lang, score)."""
     cache: dict = {}
 
-    @F.pandas_udf("struct<lang:string,score:double>")
-    def predict(text):
-        import pandas as pd
-
-        return pd.DataFrame([predict_one(model, t, cache) for t in text], columns=["lang", "score"])
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def predict(text: pa.Array) -> pa.Array:
+        rows = [predict_one(model, t.as_py(), cache) for t in text]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in ((0, pa.string()), (1, pa.float64()))], ["lang", "score"])
 
     return predict
 
