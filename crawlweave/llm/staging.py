@@ -7,10 +7,19 @@ from pyspark.sql import DataFrame
 from crawlweave.durability import shared_folder
 
 
+#: Has Spark remove a query's shuffle files when it ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """Write df as Parquet below spark.checkpoint.dir and read it back."""
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    """Write df as Parquet below spark.checkpoint.dir and read it back; nothing else uses the shuffle files of the write."""
+    path, conf = shared_folder(df.sparkSession, purpose), df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
