@@ -20,6 +20,9 @@ by two 64-bit hashes, words by one.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crawlweave.llm.staging import staged
@@ -28,6 +31,8 @@ OVER, UNDER = 80, 100
 BUCKETS = 1 << 18
 #: Keys that are broadcast to pick lines or classes; more of them are joined by shuffling.
 SMALL = 1_000_000
+#: Found in a line that has words.
+FILLED = r"[^\x20\x09-\x0D]"
 _LAST = (1 << 63) - 1
 
 
@@ -38,7 +43,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def words_of(line: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    """The distinct words of a line; patterns are left to lines with white space other than blanks."""
+    other = [F.contains(line, F.lit(c)) for c in "\t\n\v\f\r"]
+    words = F.when(reduce(or_, other), F.split(line, r"[\x20\x09-\x0D]")).otherwise(F.split(line, " "))
+    return F.array_remove(F.array_distinct(words), "")
 
 
 def hashes_of(line: Column) -> Column:
@@ -95,8 +103,8 @@ def kept_classes(docs: DataFrame) -> DataFrame:
     """d, i of the lines with words that stay: first of their class, and no earlier class resembles it."""
     lines = lines_of(docs)
     rarity = F.lit(rarity_table(lines))
-    hashed = lines.select("d", "i", hashes_of(F.col("line")).alias("h")).where(F.size("h") > 0)
-    order = F.transform(F.array_sort(F.transform("h", lambda x: F.struct(F.substring(rarity, _bucket(x) + 1, F.lit(1)).alias("n"), x.alias("h")))), lambda x: x["h"])
+    hashed = lines.where(F.regexp_like("line", F.lit(FILLED))).select("d", "i", hashes_of(F.col("line")).alias("h"))
+    order = F.transform(F.sort_array(F.transform("h", lambda x: F.struct(F.substring(rarity, _bucket(x) + 1, F.lit(1)).alias("n"), x.alias("h")))), lambda x: x["h"])
     flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int")))
     bits = F.aggregate("h", F.lit(0).cast("bigint"), flip)
     hashed = hashed.select("d", "i", F.size("h").alias("n"), bits.alias("bits"), order.alias("h"))
@@ -134,8 +142,7 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     rows = texts.join(stay, "d", "left").withColumn("lines", F.split("text", "\n"))
     none = F.expr("cast(array() as array<int>)")
     rows = rows.withColumn("stay", F.coalesce("stay", none))
-    blank = F.lit(r"[^\x20\x09-\x0D]")
-    kept = F.filter("lines", lambda line, i: F.array_contains("stay", i) | ~F.regexp_like(line, blank))
+    kept = F.filter("lines", lambda line, i: F.array_contains("stay", i) | ~F.regexp_like(line, F.lit(FILLED)))
     rows = rows.withColumn("kept", kept)
     size = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("bigint")
     gone = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("bigint")
