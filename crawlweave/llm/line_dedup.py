@@ -9,8 +9,8 @@ class goes. Of the classes, those go that have a Jaccard index of 0.8 or more wi
 3. Classes that have not matched are then joined with all earlier entries of their words.
 
 Both joins let a pair through only if its sizes allow the overlap, its positions do (what can be common before and behind the
-shared word), and its parity words do: each set has 64 bits, one flipped by each word, and two sets differ in at least as
-many words as bits. What is left is verified on the words themselves.
+shared word), and its parity words do: each set has 128 bits in two words, one flipped by each word of the set, and two sets
+differ in at least as many words as bits. What is left is verified on the words themselves.
 
 Defined results: a null text has no lines, an empty one has one blank line; lines without words stay; order is doc_id
 (null last), then line number; rows with one doc_id count as one document, so equal rows have equal results; very long
@@ -73,10 +73,10 @@ def needed(n: Column, m: Column) -> Column:
 
 
 def _possible(a: str, b: str) -> Column:
-    """Length, positional and parity filters on the entries a and b (struct columns n, at, bits) of one word."""
+    """Length, positional and parity filters on the entries a and b (struct columns n, at, low, high) of one word."""
     n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
     most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    differ = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    differ = sum(F.bit_count(F.col(f"{a}.{bits}").bitwiseXOR(F.col(f"{b}.{bits}"))) for bits in ("low", "high"))
     # distinct sets of one size share one word less than they have
     room = F.least(n, m) - F.when(n == m, 1).otherwise(0)
     need = needed(n, m)
@@ -106,22 +106,22 @@ def kept_classes(docs: DataFrame) -> DataFrame:
     hashed = lines.where(F.regexp_like("line", F.lit(FILLED))).select("d", "i", hashes_of(F.col("line")).alias("h"))
     order = F.transform(F.sort_array(F.transform("h", lambda x: F.struct(F.substring(rarity, _bucket(x) + 1, F.lit(1)).alias("n"), x.alias("h")))), lambda x: x["h"])
     flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int")))
-    bits = F.aggregate("h", F.lit(0).cast("bigint"), flip)
-    hashed = hashed.select("d", "i", F.size("h").alias("n"), bits.alias("bits"), order.alias("h"))
+    low, high = (F.aggregate(F.filter("h", lambda x: x.bitwiseAND(64) == half), F.lit(0).cast("bigint"), flip) for half in (0, 64))
+    hashed = hashed.select("d", "i", F.size("h").alias("n"), low.alias("low"), high.alias("high"), order.alias("h"))
     prefix = F.slice("h", 1, (F.col("n") - F.ceil(F.col("n") * OVER / UNDER) + 1).cast("int"))
-    hashed = hashed.select("d", "i", "n", "bits", F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2"), prefix.alias("prefix"))
-    classes = hashed.groupBy("s1", "s2").agg(F.min(F.struct("d", "i")).alias("place"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    classes = staged(classes.select("place.d", "place.i", "n", "bits", "prefix"), "classes")
-    entries = classes.select("d", "i", "n", "bits", F.posexplode("prefix").alias("at", "t"))
+    hashed = hashed.select("d", "i", "n", "low", "high", F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2"), prefix.alias("prefix"))
+    classes = hashed.groupBy("s1", "s2").agg(F.min(F.struct("d", "i")).alias("place"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("prefix").alias("prefix"))
+    classes = staged(classes.select("place.d", "place.i", "n", "low", "high", "prefix"), "classes")
+    entries = classes.select("d", "i", "n", "low", "high", F.posexplode("prefix").alias("at", "t"))
     by_word = Window.partitionBy("t")
     # a word's earliest entry and their number come from the shuffle by word that the entries need anyway
-    place, entry = F.struct("d", "i"), F.struct("d", "i", "n", "at", "bits")
+    place, entry = F.struct("d", "i"), F.struct("d", "i", "n", "at", "low", "high")
     first = entries.withColumn("e", F.min(entry).over(by_word)).where(place > F.struct("e.d", "e.i"))
-    first = first.select("d", "i", F.struct("n", "at", "bits").alias("set"), F.col("e.d").alias("d2"), F.col("e.i").alias("i2"), F.struct("e.n", "e.at", "e.bits").alias("set2"))
+    first = first.select("d", "i", F.struct("n", "at", "low", "high").alias("set"), F.col("e.d").alias("d2"), F.col("e.i").alias("i2"), F.struct("e.n", "e.at", "e.low", "e.high").alias("set2"))
     matched = _verified(lines, staged(first.where(_possible("set", "set2")).select("d", "i", "d2", "i2").distinct(), "pairs"))
-    flat = entries.select("t", "d", "i", "n", "at", "bits")
-    left = _semi(flat, matched, ["d", "i"], "left_anti").select("t", "d", "i", F.struct("n", "at", "bits").alias("set"))
-    right = flat.select(F.col("t").alias("t2"), F.col("d").alias("d2"), F.col("i").alias("i2"), F.struct("n", "at", "bits").alias("set2"))
+    flat = entries.select("t", "d", "i", "n", "at", "low", "high")
+    left = _semi(flat, matched, ["d", "i"], "left_anti").select("t", "d", "i", F.struct("n", "at", "low", "high").alias("set"))
+    right = flat.select(F.col("t").alias("t2"), F.col("d").alias("d2"), F.col("i").alias("i2"), F.struct("n", "at", "low", "high").alias("set2"))
     earlier = (F.col("d") > F.col("d2")) | ((F.col("d") == F.col("d2")) & (F.col("i") > F.col("i2")))
     rest = left.hint("merge").join(right, (F.col("t") == F.col("t2")) & earlier & _possible("set", "set2"))
     rest = _verified(lines, staged(rest.select("d", "i", "d2", "i2").distinct(), "pairs"))
