@@ -59,7 +59,8 @@ def _bucket(h: Column) -> Column:
 
 def rarity_table(lines: DataFrame) -> bytes:
     """BUCKETS bytes: for each bucket the count of its (line, word) pairs, on a logarithmic scale with six steps a doubling."""
-    counts = lines.select(F.explode(F.transform(hashes_of(F.col("line")), _bucket)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    words = lines.select(F.explode(words_of(F.col("line"))).alias("word"))
+    counts = words.select(_bucket(F.xxhash64("word")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     step = F.least(F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1.0) * 6), F.lit(255))
     dense = every.join(counts, "bucket", "left").select("bucket", F.lpad(F.hex(step), 2, "0").alias("step"))
