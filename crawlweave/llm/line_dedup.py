@@ -29,6 +29,8 @@ from crawlweave.llm.staging import staged
 
 OVER, UNDER = 80, 100
 BUCKETS = 1 << 18
+#: The words of the inverted index are met in so many passes, one after the other, so that the disk holds a share of it at a time.
+PASSES = 4
 #: Keys that are broadcast to pick lines or classes; more of them are joined by shuffling.
 SMALL = 1_000_000
 #: Found in a line that has words.
@@ -100,6 +102,30 @@ def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     return staged(joined.where(both >= needed(F.size("words"), F.size("words2"))).select("d", "i").distinct(), "matched")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _first_pairs(entries: DataFrame) -> DataFrame:
+    """d, i, d2, i2: each class with the earliest class of each of its prefix words."""
+    # a word's earliest entry comes from the one shuffle of the entries by word
+    place, entry = F.struct("d", "i"), F.struct("d", "i", "n", "at", "low", "high")
+    first = entries.withColumn("e", F.min(entry).over(Window.partitionBy("t"))).where(place > F.struct("e.d", "e.i"))
+    one, two = F.struct("n", "at", "low", "high").alias("set"), F.struct("e.n", "e.at", "e.low", "e.high").alias("set2")
+    first = first.select("d", "i", one, F.col("e.d").alias("d2"), F.col("e.i").alias("i2"), two)
+    return first.where(_possible("set", "set2")).select("d", "i", "d2", "i2").distinct()
+
+
+def _other_pairs(entries: DataFrame, matched: DataFrame) -> DataFrame:
+    """d, i, d2, i2: each class that has not matched with all earlier classes of its prefix words."""
+    flat = entries.select("t", "d", "i", "n", "at", "low", "high")
+    left = _semi(flat, matched, ["d", "i"], "left_anti").select("t", "d", "i", F.struct("n", "at", "low", "high").alias("set"))
+    right = flat.select(F.col("t").alias("t2"), F.col("d").alias("d2"), F.col("i").alias("i2"), F.struct("n", "at", "low", "high").alias("set2"))
+    earlier = (F.col("d") > F.col("d2")) | ((F.col("d") == F.col("d2")) & (F.col("i") > F.col("i2")))
+    rest = left.hint("merge").join(right, (F.col("t") == F.col("t2")) & earlier & _possible("set", "set2"))
+    return rest.select("d", "i", "d2", "i2").distinct()
+
+
 def kept_classes(docs: DataFrame) -> DataFrame:
     """d, i of the lines with words that stay: first of their class, and no earlier class resembles it."""
     lines = lines_of(docs)
@@ -114,18 +140,9 @@ def kept_classes(docs: DataFrame) -> DataFrame:
     classes = hashed.groupBy("s1", "s2").agg(F.min(F.struct("d", "i")).alias("place"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("prefix").alias("prefix"))
     classes = staged(classes.select("place.d", "place.i", "n", "low", "high", "prefix"), "classes")
     entries = classes.select("d", "i", "n", "low", "high", F.posexplode("prefix").alias("at", "t"))
-    by_word = Window.partitionBy("t")
-    # a word's earliest entry and their number come from the shuffle by word that the entries need anyway
-    place, entry = F.struct("d", "i"), F.struct("d", "i", "n", "at", "low", "high")
-    first = entries.withColumn("e", F.min(entry).over(by_word)).where(place > F.struct("e.d", "e.i"))
-    first = first.select("d", "i", F.struct("n", "at", "low", "high").alias("set"), F.col("e.d").alias("d2"), F.col("e.i").alias("i2"), F.struct("e.n", "e.at", "e.low", "e.high").alias("set2"))
-    matched = _verified(lines, staged(first.where(_possible("set", "set2")).select("d", "i", "d2", "i2").distinct(), "pairs"))
-    flat = entries.select("t", "d", "i", "n", "at", "low", "high")
-    left = _semi(flat, matched, ["d", "i"], "left_anti").select("t", "d", "i", F.struct("n", "at", "low", "high").alias("set"))
-    right = flat.select(F.col("t").alias("t2"), F.col("d").alias("d2"), F.col("i").alias("i2"), F.struct("n", "at", "low", "high").alias("set2"))
-    earlier = (F.col("d") > F.col("d2")) | ((F.col("d") == F.col("d2")) & (F.col("i") > F.col("i2")))
-    rest = left.hint("merge").join(right, (F.col("t") == F.col("t2")) & earlier & _possible("set", "set2"))
-    rest = _verified(lines, staged(rest.select("d", "i", "d2", "i2").distinct(), "pairs"))
+    slices = [entries.where(F.pmod(F.xxhash64("t"), F.lit(PASSES)) == k) for k in range(PASSES)]
+    matched = _verified(lines, _union([staged(_first_pairs(x), "pairs") for x in slices]).distinct())
+    rest = _verified(lines, _union([staged(_other_pairs(x, matched), "pairs") for x in slices]).distinct())
     return classes.select("d", "i").join(staged(matched.unionByName(rest), "matched"), ["d", "i"], "left_anti")
 
 
