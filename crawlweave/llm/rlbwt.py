@@ -166,7 +166,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, split: int
     parts = unsure.groupBy("h").agg(F.ceil(F.count("*") / split).alias("parts"))
     unsure = unsure.join(parts, "h").withColumn("part", F.pmod(F.xxhash64("d", "k", "p"), F.col("parts")).cast("int"))
     spans = unsure.groupBy("d", "k").agg(F.collect_set(F.struct("p", "n", "h", "part", "parts")).alias("spans"))
-    rows = texts.select("d", "k", F.col("text").cast("binary").alias("b")).join(spans, ["d", "k"])
+    # equal rows are one document: a second copy's stretches would be taken for later occurrences of the first one's
+    rows = texts.select("d", "k", F.col("text").cast("binary").alias("b")).dropDuplicates(["d", "k"]).join(spans, ["d", "k"])
     each = rows.select("d", "k", "b", F.explode("spans").alias("s"))
     cut = F.substring("b", F.col("s.p") + 1, F.col("s.n") + window - 1)
     each = each.select(F.col("s.h").alias("h"), F.col("s.part").alias("part"), (F.col("s.parts") > 1).alias("cut"), "d", "k", F.col("s.p").alias("p"), cut.alias("bytes"))

@@ -3,7 +3,8 @@
 import base64
 import random
 
-from crawlweave.llm import language
+from crawlweave.llm import language, rlbwt
+from tests.llm import brute
 
 
 def test_texts_that_the_model_never_learned_are_rejected(spark):
@@ -23,3 +24,12 @@ def test_known_share_of_a_word():
     model = {"langs": ["a", "b"], 0: {"known": [-1.0, -2.0]}, 4: {}, 3: {"xyz": [-1.0, -3.0]}, 2: {}, 1: {"z": [-1.0, -1.0]}}
     assert [language.judged_word(model, w)[1] for w in ("known", "wxyz", "z", "ww")] == [1.0, 0.25, 0.0, 0.0]
     assert language.judged(model, "known z ww ww", {})[2] == 0.25 and language.judged(model, "ww", {}) == ("a", 0.5, 0.0)
+
+
+def test_a_repeated_row_keeps_its_first_occurrences(spark):
+    rnd = random.Random(5)
+    base = "".join(rnd.choice("abcdefgh ") for _ in range(600))
+    near = base[:300] + "#" + base[301:]
+    rows = [(i, t, "en", "s", 1, "x", "y", 1) for i, t in ((1, base), (2, near), (2, near), (None, near[:450] + "!" + near[200:]), (None, near[:450] + "!" + near[200:]))]
+    out = rlbwt.repeat_report(spark.createDataFrame(rows, brute.SCHEMA).repartition(3)).collect()
+    assert len(out) == 5 and {r[0]: tuple(r)[1:] for r in out} == brute.bytes_removed(rows)
