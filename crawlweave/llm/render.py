@@ -2,9 +2,9 @@
 
 A tree builder reads tags one by one: void elements hold nothing, start tags imply the end of what can't contain them (a
 paragraph before a block, list items, cells, rows, options, terms), end tags close up to their element and stray ones are
-ignored. Rendering walks the tree once. Hidden are head, script, style and template content, `hidden` elements, `display:none` and
-`visibility:hidden` styles, hidden inputs, and closed details but for their summary. White space collapses as in a
-browser, but for pre and textarea. Blocks start lines, and blocks with margins (paragraphs, headings, lists, tables, quotes)
+ignored. Rendering walks the tree once. Hidden are head, script, style, template and svg content, `hidden` elements, `display:none` and
+`visibility:hidden` styles, hidden inputs, and closed details but for their summary. Formulas are inline text without their annotations;
+the parts of fractions, roots and tables in them stand apart. White space collapses as in a browser, but for pre and textarea. Blocks start lines, and blocks with margins (paragraphs, headings, lists, tables, quotes)
 have a blank line around them; list items carry a dash or their number and an indent; table cells are padded to columns.
 
 Defined results: null, empty and text-free pages give an empty string; open elements end with the page; character references
@@ -25,7 +25,7 @@ DEEPEST = 200
 # Fixed values of the HTML standard: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title link meta base".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg datalist title link meta base".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table blockquote pre figure hr fieldset".split())
 BLOCK = MARGIN | frozenset("html body address article aside center details dialog dd div dt figcaption footer form header hgroup legend li listing main nav optgroup option search section summary tbody thead tfoot tr td th caption".split())
 CLOSES_P = BLOCK - frozenset("html body option optgroup tbody thead tfoot tr td th caption legend".split())
@@ -40,8 +40,19 @@ IMPLIED = {
 _SHIELDS_P = frozenset("button td th caption table object template".split())
 _CELLS = frozenset("table td th caption".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: MathML elements; those that hold text; those never shown; those whose parts lie in two dimensions.
+MATH = frozenset("math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction".split())
+MATH_TEXT = frozenset("mi mn mo ms mtext".split())
+MATH_UNSEEN = frozenset("annotation annotation-xml mphantom".split())
+MATH_APART = frozenset("mfrac mroot mtable mtr mlabeledtr".split())
+
+# A quote opens a value only directly behind an equals sign; anywhere else it is an ordinary character.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|"
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:\s++|/(?!>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>))|(?!\s*+=)))*+)(/?)>",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?)?")
 _NO_SHOW = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -107,7 +118,7 @@ def build(page: str) -> Node:
             inside = page[at : end.start() if end else len(page)]
             node.children.append(entities.unescape(inside) if tag == "textarea" else inside)
             at = end.end() if end else len(page)
-        elif tag not in VOID and len(stack) < DEEPEST and not (m[3].endswith("/") and tag in ("svg", "math", "path")):
+        elif tag not in VOID and len(stack) < DEEPEST and not (m[4] and (tag in ("svg", "math", "path") or any(n.tag in ("svg", "math") for n in stack))):
             stack.append(node)
     add_text(page[at:])
     return root
@@ -197,6 +208,13 @@ def _walk(node: Node, out: Lines, pre: bool, depth: int) -> None:
         elif tag == "input":
             if child.attributes.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number"):
                 out.flow(child.attributes.get("value", ""))
+        elif tag == "math":
+            ends = int(child.attributes.get("display", "").lower() == "block")
+            if ends:
+                out.break_to(1)
+            _math(child, out, depth)
+            if ends:
+                out.break_to(1)
         elif tag == "table":
             out.break_to(2)
             out.block(table_lines(child))
@@ -221,6 +239,29 @@ def _walk(node: Node, out: Lines, pre: bool, depth: int) -> None:
             _walk(child, out, pre or tag in ("textarea", "xmp"), depth)
 
 
+def _math(node: Node, out: Lines, depth: int) -> None:
+    """A formula as inline text; white space between its elements is layout of the source."""
+    last = len(node.children) - 1
+    for i, child in enumerate(node.children):
+        if isinstance(child, str):
+            if i == 0 or node.tag not in MATH_TEXT:
+                child = child.lstrip(" \t\n\r\f")
+            out.flow(child.rstrip(" \t\n\r\f") if i == last or node.tag not in MATH_TEXT else child)
+        elif hidden(child) or child.tag in MATH_UNSEEN:
+            continue
+        elif child.tag in MATH and node.tag not in MATH_TEXT:
+            apart = node.tag in MATH_APART or child.tag in MATH_APART
+            if apart:
+                out.flow(" ")
+            _math(child, out, depth)
+            if apart:
+                out.flow(" ")
+        else:
+            part = Node("#part", {})
+            part.children = [child]
+            _walk(part, out, False, depth)
+
+
 def _closed_details(node: Node, out: Lines, pre: bool, depth: int) -> None:
     if node.tag == "details" and "open" not in node.attributes:
         part = Node("#summary", {})
