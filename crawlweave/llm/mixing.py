@@ -114,27 +114,58 @@ def pieces_of(sizes: DataFrame, per_source: DataFrame, block: int = BLOCK) -> Da
     return df.withColumn("low", low - F.col("start")).withColumn("length", high - low)
 
 
-def _taken(sizes: DataFrame, per_source: DataFrame, block: int) -> DataFrame:
-    """The pieces with `times`, how often the mix takes their block."""
-    times = slots_of(per_source).groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count("*").alias("times"))
-    times = times.hint("merge")  # it grows with the words, though the table it comes from is tiny
+def _dealt(sizes: DataFrame, per_source: DataFrame, block: int, shards: int = SHARDS) -> DataFrame:
+    """The mix, written: the pieces of each slot's block with the slot's shard and position, shards being runs of positions.
+
+    Pieces of blocks without a slot are there once, with null for both.
+    """
+    slots = slots_of(per_source, shards).withColumnsRenamed({"source": "s", "block": "b"})
+    slots = slots.hint("merge")  # it grows with the words, though the table it comes from is tiny
     pieces = pieces_of(sizes, per_source, block)
-    joined = pieces.join(times, pieces["source"].eqNullSafe(times["s"]) & (pieces["block"] == times["b"]), "left")
-    return joined.withColumn("times", F.coalesce("times", F.lit(0))).drop("s", "b")
+    joined = pieces.join(slots, pieces["source"].eqNullSafe(slots["s"]) & (pieces["block"] == slots["b"]), "left")
+    wanted = ["doc_id", "source", "size", "source_size", "target", "h1", "h2", "start", "block", "low", "length", "shard", "position"]
+    return staged(joined.select(wanted), "mix")
 
 
 def mix_report(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, size, source_size, target, taken (its words in the blocks of the mix)."""
     sizes = staged(sized(docs), "sizes")
     per_source = staged(targets(sizes, block), "targets")
-    taken = _taken(sizes, per_source, block).groupBy("source", "start", "doc_id", "size", "source_size", "target")
-    taken = taken.agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
+    taken = _dealt(sizes, per_source, block).groupBy("source", "start", "doc_id", "size", "source_size", "target")
+    taken = taken.agg(F.sum(F.when(F.col("position").isNotNull(), F.col("length")).otherwise(0)).alias("taken"))
     per = per_source.select(F.col("source").alias("s"), "source_size", "target")
     empty = sizes.where("size = 0").join(per, sizes["source"].eqNullSafe(per["s"])).withColumn("taken", F.lit(0).cast("bigint"))
     wanted = ["doc_id", "size", "source_size", "target", "taken"]
     return taken.select(wanted).unionByName(empty.select(wanted))
 
 
+def mixed_blocks(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
+    """The mix as blocks: source, block, shard, position, n_words, text. Positions run from 0 through all shards in turn.
+
+    A block's words are joined by blanks. Each document is cut into its pieces once, each block is put together once, and then
+    joined to its slots.
+    """
+    sizes = staged(sized(docs), "sizes")
+    per_source = staged(targets(sizes, block), "targets")
+    parts = pieces_of(sizes, per_source, block).groupBy("h1", "h2")
+    parts = parts.agg(F.collect_list(F.struct("source", "block", "start", "low", "length")).alias("parts"))
+    texts = docs.select(*_row_hashes(), "text").dropDuplicates(["h1", "h2"]).join(parts, ["h1", "h2"])
+    # the outer transform holds the words, so that they are found once a document and not once a piece
+    words = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    cut = lambda w, p: F.array_join(F.slice(w, (p["low"] + 1).cast("int"), p["length"].cast("int")), " ")
+    piece = lambda w: lambda p: F.struct(p["source"].alias("source"), p["block"].alias("block"), p["start"].alias("start"), p["length"].alias("length"), cut(w, p).alias("text"))
+    pieces = texts.select(F.explode(F.element_at(F.transform(words, lambda w: F.transform("parts", piece(w))), 1)).alias("p")).select("p.*")
+    blocks = pieces.groupBy("source", "block").agg(F.sum("length").alias("n_words"), F.sort_array(F.collect_list(F.struct("start", "text")))["text"].alias("text"))
+    blocks = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), "n_words", F.array_join("text", " ").alias("text"))
+    slots = slots_of(per_source, shards).hint("merge")
+    return slots.join(blocks, slots["source"].eqNullSafe(blocks["s"]) & (slots["block"] == blocks["b"])).select("source", "block", "shard", "position", "n_words", "text")
+
+
+def _row_hashes() -> list[Column]:
+    key = [F.col("doc_id"), F.col("source"), F.col("text")]
+    return [_bits("a", *key).alias("h1"), _bits("b", *reversed(key)).alias("h2")]
+
+
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix as documents, with the columns of docs: one row for each time that words of a document are taken.
 
@@ -143,15 +174,14 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     sizes = staged(sized(docs), "sizes")
     per_source = staged(targets(sizes, block), "targets")
-    parts = _taken(sizes, per_source, block).where("times > 0").groupBy("h1", "h2", "start", "size")
+    parts = _dealt(sizes, per_source, block).where("position is not null").groupBy("h1", "h2", "start", "size", "low", "length").agg(F.count("*").alias("times")).groupBy("h1", "h2", "start", "size")
     parts = parts.agg(F.sort_array(F.collect_list(F.struct("low", "length", "times"))).alias("parts"), F.max("times").alias("most"))
     copies = parts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("most") - 1)))
     kept = F.filter("parts", lambda p: p["times"] > F.col("k"))
     copies = copies.select("h1", "h2", "size", kept.alias("kept"))
     copies = copies.groupBy("h1", "h2").agg(F.collect_list(F.struct("size", "kept")).alias("copies"))
     row, one = fresh(docs, "row", "copy")
-    key = [F.col("doc_id"), F.col("source"), F.col("text")]
-    texts = docs.select(_bits("a", *key).alias("h1"), _bits("b", *reversed(key)).alias("h2"), F.struct(*docs.columns).alias(row))
+    texts = docs.select(*_row_hashes(), F.struct(*docs.columns).alias(row))
     texts = texts.groupBy("h1", "h2").agg(F.first(row).alias(row))  # equal rows share their copies
     out = texts.join(copies, ["h1", "h2"]).select(row, F.explode("copies").alias(one))
     whole = F.aggregate(F.col(one)["kept"], F.lit(0).cast("bigint"), lambda a, p: a + p["length"]) == F.col(one)["size"]

@@ -36,6 +36,10 @@ def op6_mix_sources(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_mixed_blocks(spark, sf_dir):
+    return mixing.mixed_blocks(table(spark, sf_dir, "documents"))
+
+
 def op7_closed_syncmers(spark, sf_dir):
     return syncmers.fingerprint_report(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_visible_text": op5_visible_text,
     "op6_mix_sources": op6_mix_sources,
+    "op6_mixed_blocks": op6_mixed_blocks,
     "op7_closed_syncmers": op7_closed_syncmers,
     "op8_language": op8_language,
     "op9_jaccard_trie": op9_jaccard_trie,

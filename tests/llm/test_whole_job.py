@@ -2,8 +2,9 @@
 
 import base64
 import random
+from collections import Counter
 
-from crawlweave.llm import language, rlbwt
+from crawlweave.llm import language, mixing, rlbwt
 from tests.llm import brute
 
 
@@ -33,3 +34,31 @@ def test_a_repeated_row_keeps_its_first_occurrences(spark):
     rows = [(i, t, "en", "s", 1, "x", "y", 1) for i, t in ((1, base), (2, near), (2, near), (None, near[:450] + "!" + near[200:]), (None, near[:450] + "!" + near[200:]))]
     out = rlbwt.repeat_report(spark.createDataFrame(rows, brute.SCHEMA).repartition(3)).collect()
     assert len(out) == 5 and {r[0]: tuple(r)[1:] for r in out} == brute.bytes_removed(rows)
+
+
+def test_blocks_are_dealt_to_shards(spark):
+    docs = spark.createDataFrame(brute.awkward(), brute.SCHEMA).repartition(3)
+    rows = mixing.mixed_blocks(docs, block=4, shards=8).collect()
+    sizes, wanted = brute.targets(brute.awkward())
+    slots = {r["source"]: r["slots"] for r in mixing.targets(mixing.sized(docs), 4).collect()}
+    assert sorted(r["position"] for r in rows) == list(range(len(rows))) and len(rows) == sum(slots.values())
+    assert all(r["shard"] == r["position"] * 8 // len(rows) and len(brute.GAP.findall(r["text"])) == r["n_words"] <= 4 for r in rows)
+    words = Counter()
+    for r in rows:
+        words[r["source"]] += r["n_words"]
+    assert all(abs(words[s] - t) <= 8 for s, t in wanted.items())
+    # each shard's blocks of a source are a draw without replacement: within five deviations of its share
+    for s, n in slots.items():
+        for shard, size in Counter(r["shard"] for r in rows).items():
+            mean, found = size * n / len(rows), sum(r["shard"] == shard and r["source"] == s for r in rows)
+            assert abs(found - mean) <= 5 * (mean * (1 - n / len(rows))) ** 0.5 + 1
+    # a source's blocks are its documents' words, and every use of a block has the same text
+    texts = {}
+    for r in rows:
+        assert texts.setdefault((r["source"], r["block"]), r["text"]) == r["text"]
+    given = Counter((x[3], w) for x in brute.awkward() for w in brute.GAP.findall(x[1] or ""))
+    assert not Counter((s, w) for (s, _), t in texts.items() for w in brute.GAP.findall(t)) - given
+    again = mixing.mixed_blocks(docs.repartition(5), block=4, shards=8).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, again))
+    taken = sum(r["taken"] for r in mixing.mix_report(docs, block=4).collect())
+    assert taken == sum(words.values())
