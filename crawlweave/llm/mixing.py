@@ -148,17 +148,18 @@ def mixed_blocks(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> D
     sizes = staged(sized(docs), "sizes")
     per_source = staged(targets(sizes, block), "targets")
     parts = pieces_of(sizes, per_source, block).groupBy("h1", "h2")
-    parts = parts.agg(F.collect_list(F.struct("source", "block", "start", "low", "length")).alias("parts"))
+    parts = parts.agg(F.collect_list(F.struct(F.struct("source", "block").alias("key"), "start", "low", "length")).alias("parts"))
     texts = docs.select(*_row_hashes(), "text").dropDuplicates(["h1", "h2"]).join(parts, ["h1", "h2"])
     # the outer transform holds the words, so that they are found once a document and not once a piece
     words = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     cut = lambda w, p: F.array_join(F.slice(w, (p["low"] + 1).cast("int"), p["length"].cast("int")), " ")
-    piece = lambda w: lambda p: F.struct(p["source"].alias("source"), p["block"].alias("block"), p["start"].alias("start"), p["length"].alias("length"), cut(w, p).alias("text"))
+    piece = lambda w: lambda p: F.struct(p["key"].alias("key"), p["start"].alias("start"), p["length"].alias("length"), cut(w, p).alias("text"))
     pieces = texts.select(F.explode(F.element_at(F.transform(words, lambda w: F.transform("parts", piece(w))), 1)).alias("p")).select("p.*")
-    blocks = pieces.groupBy("source", "block").agg(F.sum("length").alias("n_words"), F.sort_array(F.collect_list(F.struct("start", "text")))["text"].alias("text"))
-    blocks = blocks.select(F.col("source").alias("s"), F.col("block").alias("b"), "n_words", F.array_join("text", " ").alias("text"))
-    slots = slots_of(per_source, shards).hint("merge")
-    return slots.join(blocks, slots["source"].eqNullSafe(blocks["s"]) & (slots["block"] == blocks["b"])).select("source", "block", "shard", "position", "n_words", "text")
+    # one key, a struct as sources may be null
+    blocks = pieces.groupBy("key").agg(F.sum("length").alias("n_words"), F.sort_array(F.collect_list(F.struct("start", "text")))["text"].alias("text"))
+    slots = slots_of(per_source, shards).select(F.struct("source", "block").alias("key"), "shard", "position").hint("merge")
+    out = slots.join(blocks, "key")
+    return out.select("key.source", "key.block", "shard", "position", "n_words", F.array_join("text", " ").alias("text"))
 
 
 def _row_hashes() -> list[Column]:
