@@ -64,10 +64,23 @@ OP10 = f"""with t as (select doc_id, string_split(text, chr(10)) as lines from d
   joined as (select doc_id, count(*) as n, string_agg(line, chr(10) order by i) as k from kept group by doc_id)
 select t.doc_id, coalesce(len(lines), 0) as n_lines, coalesce(len(lines), 0) - coalesce(n, 0) as n_removed, sha256(coalesce(k, '')) as kept_sha256 from t left join joined using (doc_id)"""
 
+OP12 = f"""with docs as (select doc_id, row_number() over () as r, {_NORMAL} as l from documents),
+  words as (select r, doc_id, unnest(l) as t from docs),
+  tfs as (select r, doc_id, t, count(*) as tf from words group by all),
+  sizes as (select r, count(*) as n from words group by r),
+  totals as (select count(*) as big_n, cast(sum(n) as bigint) as big_l from sizes),
+  dfs as (select t, count(*) as df from tfs group by t),
+  items as (select item_id, t, count(*) as q from (select item_id, unnest({_NORMAL}) as t from (select distinct item_id, text from benchmark)) group by all),
+  weighed as (select item_id, t, q * cast(floor(1000 * ln(cast(2 * big_n + 2 as double) / cast(2 * df + 1 as double))) as bigint) as w from items join dfs using (t), totals),
+  scores as (select item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) as bigint) as score
+    from weighed join tfs using (t) join sizes using (r), totals group by all)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from scores where score > 0 qualify rank <= 20"""
+
 ORACLES = {
     "op1_run_length_index": OP1,
     "op2_seed_extend": OP2,
     "op4_decontaminate": OP4,
     "op9_jaccard_trie": OP9,
     "op10_line_join": OP10,
+    "op12_hybrid_search": OP12,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from crawlweave.llm import decontaminate, hilbert, jaccard_trie, language, line_dedup, mixing, oracles, render, rlbwt, seed_extend, syncmers
+from crawlweave.llm import decontaminate, hilbert, jaccard_trie, language, line_dedup, mixing, oracles, ranking, render, rlbwt, seed_extend, simhash, syncmers, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_line_join(spark, sf_dir):
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_balls(spark, sf_dir):
+    return simhash.component_report(table(spark, sf_dir, "documents"))
+
+
+def op12_hybrid_search(spark, sf_dir):
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_spans(spark, sf_dir):
+    return tokens.alignment_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -72,8 +84,11 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_jaccard_trie": op9_jaccard_trie,
     "op10_line_join": op10_line_join,
+    "op11_simhash_balls": op11_simhash_balls,
+    "op12_hybrid_search": op12_hybrid_search,
+    "op13_token_spans": op13_token_spans,
     "pipeline": pipeline,
 }
 
-#: Without SQL: 3 (checksums), 5 (a tree), 6 and 7 (64-bit hashes), 8 (a trained model), pipeline; tests/llm has plain versions.
+#: Without SQL: 3 (checksums), 5 (a tree), 6 and 7 (64-bit hashes), 8 (a trained model), 11 (64-bit hashes), 13 (tokenizers), pipeline; tests/llm has plain versions.
 ORACLES: dict[str, str] = oracles.ORACLES

@@ -1,6 +1,7 @@
 """Plain, slow versions of the operators, row by row, to compare results with."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -186,3 +187,90 @@ def likeness(a, b):
         return 1.0
     both = sorted(set(a) | set(b))[:64]
     return len(set(both) & set(a) & set(b)) / len(both)
+
+
+def fingerprint(text):
+    words = GAP.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
+def linked_fingerprints(fps, radius=3):
+    """{fingerprint: its component} by comparing all pairs."""
+    fps, root = sorted(set(fps)), {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= radius:
+                root[find(a)] = find(b)
+    return {f: find(f) for f in fps}
+
+
+def simhash_components(rows):
+    """[(id, fingerprint in hex, component id)]"""
+    fps = [fingerprint(r[1]) for r in rows]
+    root = linked_fingerprints(fps)
+    least = {}
+    for r, f in zip(rows, fps):
+        if r[0] is not None:
+            least[root[f]] = min(least.get(root[f], r[0]), r[0])
+    return [(r[0], f"{f:016x}", least.get(root[f])) for r, f in zip(rows, fps)]
+
+
+_TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return [w.translate({c: c + 32 for c in range(65, 91)}) for w in _TERM.findall(text or "")]
+
+
+def ranks(rows, items, top=20):
+    """[(item, rank, doc, score)] by scoring every document."""
+    docs = [(r[0], Counter(terms(r[1]))) for r in rows]
+    df = Counter(t for _, c in docs for t in c)
+    big_n, big_l = sum(1 for _, c in docs if c), sum(c.total() for _, c in docs)
+    out = []
+    for item in {i for i, _ in items}:
+        asked = Counter(t for text in {x for i, x in items if i == item} for t in terms(text))
+        scored = []
+        for doc, c in docs:
+            m = 75 + 25 * c.total() * big_n // max(1, big_l)
+            score = sum(q * math.floor(1000 * math.log((2 * big_n + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t, q in asked.items() if c[t])
+            if score > 0:
+                scored.append((-score, doc is None, doc or 0, doc))
+        out += [(item, k + 1, x[3], -x[0]) for k, x in enumerate(sorted(scored)[:top])]
+    return out
+
+
+def aligned(texts, a, bytes_a, b, bytes_b):
+    """For each text: n_a, n_b, groups, links (a, b), by whole texts and byte offsets; None without tokens."""
+    out = []
+    for text in texts:
+        data = b" " + (text or "").encode()
+        x, y = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+        if not text or b"".join(bytes_a[i] for i in x) != data or b"".join(bytes_b[i] for i in y) != data:
+            out.append(None)
+            continue
+        ends = []
+        for ids, table in ((x, bytes_a), (y, bytes_b)):
+            at, own = 0, []
+            for i in ids:
+                at += len(table[i])
+                own.append(at)
+            ends.append(own)
+        both = sorted(set(ends[0]) & set(ends[1]))
+        groups, links, low = [], [], 0
+        for high in both:
+            side = lambda k, ids: [(i, e - len((bytes_a, bytes_b)[k][i]), e) for i, e in zip(ids, ends[k]) if low < e <= high]  # noqa: E731, B023
+            p, q = side(0, x), side(1, y)
+            groups.append(",".join(str(i) for i, _, _ in p) + "|" + ",".join(str(i) for i, _, _ in q))
+            links += [(i, j) for i, s, e in p for j, s2, e2 in q if max(s, s2) < min(e, e2)]
+            low = high
+        out.append((len(x), len(y), groups, links, both))
+    return out
