@@ -207,6 +207,24 @@ def table_sql(d: Dialect) -> dict[str, str]:
                    || case when page_id % 6 > 4 then '<img src="a>b.png?x=1&amp;y=/z/" title=">"><img src="data:image/png;base64,AAAA">' else '' end
                    || '</article>') as html
             from pages""",
+        # what fetches of the images of image_pages left; some addresses were never fetched
+        "landed_images": f"""
+            select image_url, case k % 3 when 0 then 'image/png' when 1 then 'image/jpeg' else 'image/webp; q=1' end as mime,
+                   cast(case when k % 11 = 5 then null else 200 + k * 37 % 2600 end as int) as width,
+                   cast(case when k % 11 = 5 then null when k % 13 = 4 then 0 else 100 + k * 53 % 3200 end as int) as height,
+                   cast(10485000 + k % 900 as bigint) as n_bytes
+            from (select regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || '/img/a' || {_text('page_id')} || '.png' as image_url, page_id as k from pages
+                  union all select distinct 'https://cdn.example.org/x/photo.jpg?size=' || {_text('page_id % 90')} as image_url, page_id % 90 as k from pages
+                  union all select 'https://cdn.example.org/x/photo.jpg?size=7' as image_url, 3 as k) f""",
+        "image_request_json": """
+            select request_id, ts, '{"url": "' || url || case request_id % 6
+                     when 0 then '", "images": true}'
+                     when 1 then '", "images": {"layout": "both", "maxCount": 4, "output": "file", "size": {"maxWidth": 700, "maxHeight": 300, "quality": 41}}}'
+                     when 2 then '", "images": {"layout": "individual", "maxCount": 10, "startIndex": 1, "output": "both"}}'
+                     when 3 then '", "images": {"originPolicy": "same-origin", "maxCount": 9, "size": {"maxWidth": 10000, "maxHeight": 10000}}}'
+                     when 4 then '", "images": {"startIndex": 9, "maxCount": 0}}'
+                     else '"}' end as args
+            from visits""",
         "region_pages": """
             select page_id, url,
                    case page_id % 8

@@ -11,7 +11,7 @@ from checks.timeline import CHAINS_SQL, FRESH_SQL, OUTCOME_SQL, messages_sql, ra
 from crawlweave.durability import shared_folder
 from crawlweave.operators import extract, images, output
 from crawlweave.options import Options
-from crawlweave.plans.fetch_flow import fetch_flow
+from crawlweave.plans.fetch_flow import fetch_flow, fetch_flow_outputs
 from crawlweave.sources.pages import load_pages
 from crawlweave.sources.results import write_results
 
@@ -77,6 +77,10 @@ QUERIES = {
         table(s, d, "request_json"), table(s, d, "pages"), snapshots=table(s, d, "snapshots"),
         resolutions=table(s, d, "resolutions"), robots_snapshots=table(s, d, "robots_snapshots"), hops=table(s, d, "hops"),
         fetch_log=table(s, d, "fetch_log"), blocked_hosts=table(s, d, "blocked_hosts"), options=FLOW_OPTIONS),
+    "fetch_flow_images": lambda s, d: fetch_flow_outputs(
+        table(s, d, "image_request_json"), table(s, d, "image_pages"), table(s, d, "landed_images"), snapshots=table(s, d, "snapshots"),
+        resolutions=table(s, d, "resolutions"), robots_snapshots=table(s, d, "robots_snapshots"), hops=table(s, d, "hops"),
+        fetch_log=table(s, d, "fetch_log"), blocked_hosts=table(s, d, "blocked_hosts"), options=FLOW_OPTIONS)[1],
 }
 
 _REFS = [
@@ -85,16 +89,16 @@ _REFS = [
     ("refs", "select page_id, url, idx, src, alt, filename from images"),
 ]
 
+_ADDRESS = """case when regexp_matches(src, '(?i)\\Ahttps?://') then src when regexp_matches(src, '\\A[a-zA-Z][a-zA-Z0-9+.\\-]*:') then null
+    when starts_with(src, '//') then lower(sc) || ':' || src when starts_with(src, '/') then org || src
+    when starts_with(src, '?') then org || pth || src
+    else org || case when pth = '' then '/' else regexp_replace(pth, '[^/]*\\z', '') end || regexp_replace(src, '\\A(?:\\./)+', '') end"""
+
 _RESOLVED = [
     *_REFS,
     ("rbase", f"""select *, regexp_extract(url, '^([a-zA-Z]+)://', 1) as sc, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) as org,
         regexp_extract(url, '{URL_RE}', 3) as pth from refs"""),
-    ("resolved", """select page_id, url, idx, src, alt, filename, image_url from (select *, case
-          when regexp_matches(src, '(?i)\\Ahttps?://') then src when regexp_matches(src, '\\A[a-zA-Z][a-zA-Z0-9+.\\-]*:') then null
-          when starts_with(src, '//') then lower(sc) || ':' || src when starts_with(src, '/') then org || src
-          when starts_with(src, '?') then org || pth || src
-          else org || case when pth = '' then '/' else regexp_replace(pth, '[^/]*\\z', '') end || regexp_replace(src, '\\A(?:\\./)+', '') end as image_url
-        from rbase) where image_url is not null"""),
+    ("resolved", f"select page_id, url, idx, src, alt, filename, image_url from (select *, {_ADDRESS} as image_url from rbase) where image_url is not null"),
 ]
 
 _EXT = """case when contains(mime, 'jpeg') or contains(mime, 'jpg') then 'jpg' when contains(mime, 'png') then 'png'
@@ -157,6 +161,39 @@ FLOW_TABLES = ["request_json", "requests", "blocked_hosts", "resolutions", "robo
 FLOW_ORACLE = oracle(FLOW_TABLES, f"""select request_id, ts, url, host, final_url, from_cache, admitted_us, error_code, error_message, title, content_type, content,
     remaining_content, remaining_images, {RESPONSE_SQL} as response from f_said""", _FLOW)
 
+_IMAGE_FLOW = [
+    *[(n, q.replace("from request_json", "from image_request_json").replace("from pages", "from image_pages")) for n, q in _FLOW[: [n for n, _ in _FLOW].index("f_coded") + 1]],
+    *region_sql("image_pages"), *images_sql("region"),
+    ("f_found", """select c.*, case when c.from_cache then s.page_id else p.page_id end as found_page from f_coded c left join snapshots s on c.snapshot_id = s.snapshot_id
+        left join (select url, max(page_id) as page_id from image_pages group by url) p on c.final_url = p.url where c.error_code is null and c.images_enabled"""),
+    ("i_cut", """select * exclude (l, path), unnest(range(len(cut))) as k, unnest(cut) as img from (select f.* exclude (error_code, url), f.final_url as url, l, l[image_start + 1:image_start + image_count] as cut
+        from f_found f join ia on f.found_page = ia.page_id where ia.error_code is null)"""),
+    ("i_base", f"""select *, img.src as src, img.alt as img_alt, {filename_sql('img.src')} as filename, regexp_extract(url, '^([a-zA-Z]+)://', 1) as sc,
+        regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) as org, regexp_extract(url, '{URL_RE}', 3) as pth from i_cut"""),
+    ("i_kept", f"""select * from (select *, {_ADDRESS} as image_url from i_base) where image_url is not null
+        and (allow_cross_origin or lower(regexp_extract(image_url, '^([a-zA-Z]+://[^/?#]+)', 1)) = lower(org))"""),
+    ("i_landed", "select distinct on (image_url) * from landed_images order by image_url, n_bytes desc, mime desc, width desc nulls last, height desc nulls last"),
+    ("i_met", """select i.*, m.mime, m.width as w, m.height as h, case when m.image_url is null then 'fetch_failed' when m.n_bytes > 10485760 then 'image_too_large'
+        when not coalesce(m.width > 0 and m.height > 0, false) then 'not_an_image' end as image_error from i_kept i left join i_landed m using (image_url)"""),
+    ("i_fit", """select *, case when image_error is null then case when w <= image_max_width and h <= image_max_height then w
+          when image_max_width * h <= image_max_height * w then image_max_width else greatest(1, w * image_max_height // h) end end as fw,
+        case when image_error is null then case when w <= image_max_width and h <= image_max_height then h
+          when image_max_width * h <= image_max_height * w then greatest(1, h * image_max_width // w) else image_max_height end end as fh from i_met"""),
+    ("i_all", f"""select *, layout in ('merged', 'both') and n > 1 as strip, coalesce(nullif(regexp_replace(regexp_replace(filename, '\\.[^./]*\\z', ''), '[^a-zA-Z0-9_\\-]', '_', 'g'), ''), 'image')
+          || '_' || cast(k as string) || '.' || {_EXT.format(other="'jpg'")} as safe_name
+        from (select *, count(fw) over r as n, max(fw) over r as mw, sum(fh) over r as sh, coalesce(sum(fh) over (partition by request_id order by k rows between unbounded preceding and 1 preceding), 0) as y
+          from i_fit window r as (partition by request_id))"""),
+]
+
+IMAGE_FLOW_ORACLE = oracle(["image_request_json", "image_pages", "landed_images", *[t for t in FLOW_TABLES if t != "request_json"]], """
+    select request_id, cast(k + 1 as int) as position, src, image_url, img_alt as alt, mime, cast(fw as int) as width, cast(fh as bigint) as height,
+      cast(case when strip and fw is not null then (mw - fw) // 2 end as bigint) as x_offset, cast(case when strip and fw is not null then y end as bigint) as y_offset,
+      image_quality as quality, safe_name as name, case when save_to_file and image_error is null then strftime(ts, '%Y-%m-%d') || '/' || cast(request_id as string) || '/' || safe_name end as saved_as,
+      output_base64 and image_error is null as as_base64, image_error from i_all
+    union all
+    select distinct on (request_id) request_id, 0, 'merged', null, 'Merged ' || cast(n as string) || ' images', 'image/jpeg', cast(mw as int), cast(sh as bigint), 0, 0, image_quality, 'merged.jpg',
+      case when save_to_file then strftime(ts, '%Y-%m-%d') || '/' || cast(request_id as string) || '/merged.jpg' end, output_base64, null from i_all where strip""", _IMAGE_FLOW)
+
 ORACLES = {
     "load_pages": "select page_id, url, html from pages",
     "write_results": oracle(["outcomes"], "select request_id, ts, host, latency_ms, error_code from outcomes"),
@@ -198,4 +235,5 @@ ORACLES = {
         from md join (select page_id, {title_sql('html')} as title from pages) using (page_id))""",
         [*region_sql("pages"), *markdown_sql("region")]),
     "fetch_flow": FLOW_ORACLE,
+    "fetch_flow_images": IMAGE_FLOW_ORACLE,
 }

@@ -11,6 +11,7 @@ from crawlweave.operators.admission import dns_guard, url_guard, url_parts
 from crawlweave.operators.extract import extract_pages
 from crawlweave.operators.fetchlog import error_messages, hop_chains, retry_outcome
 from crawlweave.operators.freshness import fresh_snapshot
+from crawlweave.operators.images import answer_images
 from crawlweave.operators.ordered import newest_within
 from crawlweave.operators.output import format_results, paginate, remaining_images
 from crawlweave.operators.rate import rate_limit_admission
@@ -64,18 +65,45 @@ def answers(requests: DataFrame, extracted: DataFrame) -> DataFrame:
     return error_messages(format_results(sliced)).select(*RESULT_COLUMNS)
 
 
-def fetch_flow(requests: DataFrame, pages: DataFrame | None, *, extracted: DataFrame | None = None,
-               snapshots: DataFrame | None = None, resolutions: DataFrame | None = None,
-               robots_snapshots: DataFrame | None = None, hops: DataFrame | None = None,
-               fetch_log: DataFrame | None = None, blocked_hosts: DataFrame | None = None,
-               options: Options = DEFAULTS, newest=newest_within, limit=rate_limit_admission) -> DataFrame:
+def image_answers(requests: DataFrame, extracted: DataFrame, image_meta: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+    """The image table: the images of the requests that asked for some and got a page. ``requests`` as for ``answers``."""
+    asked = requests.where(F.col("error_code").isNull() & F.col("found_page").isNotNull() & F.col("images_enabled")).select(
+        "request_id", "ts", F.col("found_page").alias("page_id"), F.col("final_url").alias("url"), "image_start", "image_count",
+        "image_max_width", "image_max_height", "image_quality", "allow_cross_origin", "output_base64", "save_to_file", "layout",
+    )
+    return answer_images(asked, extracted.where("error_code is null").select("page_id", "images"), image_meta, options.max_image_bytes)
+
+
+def fetch_flow(requests: DataFrame, pages: DataFrame | None, **tables) -> DataFrame:
     """One answer or error per request.
 
     ``requests`` has request_id, ts and args (JSON). Every URL is guarded, also one that a stored
     snapshot could answer. A hit skips the rate limit, robots and the fetch outcome. The text of a
     page is worked out only if a request gets it, and once; pass ``extracted`` to use stored
-    texts. ``newest`` and ``limit`` are the as-of join and the rate limit to use.
+    texts. ``newest`` and ``limit`` are the as-of join and the rate limit to use. The other tables
+    and ``options`` are those of ``_routed``.
+    """
+    return answers(*_routed(requests, pages, **tables))
+
+
+def fetch_flow_outputs(requests: DataFrame, pages: DataFrame | None, image_meta: DataFrame, **tables) -> tuple[DataFrame, DataFrame]:
+    """The answers of ``fetch_flow`` and the table of their images, from one run of the flow.
+
+    Requests on their way to a page and the texts of the pages they get are written once, and both results read them.
+    ``image_meta`` has image_url, mime, width, height, n_bytes. A hit has images too.
     """
+    rows, extracted = _routed(requests, pages, **tables)
+    if not rows.isStreaming and tables.get("extracted") is None:
+        extracted = durable(extracted)
+    return answers(rows, extracted), image_answers(rows, extracted, image_meta, tables.get("options", DEFAULTS))
+
+
+def _routed(requests: DataFrame, pages: DataFrame | None, *, extracted: DataFrame | None = None,
+            snapshots: DataFrame | None = None, resolutions: DataFrame | None = None,
+            robots_snapshots: DataFrame | None = None, hops: DataFrame | None = None,
+            fetch_log: DataFrame | None = None, blocked_hosts: DataFrame | None = None,
+            options: Options = DEFAULTS, newest=newest_within, limit=rate_limit_admission) -> tuple[DataFrame, DataFrame]:
+    """Requests with the page that answers them or an error, and the texts of those pages."""
     rows = admitted_requests(requests, resolutions, blocked_hosts, options)
     if snapshots is not None:
         rows = fresh_snapshot(rows, snapshots, options.cache_ttl_s, newest).drop("age_us")
@@ -128,7 +156,7 @@ def fetch_flow(requests: DataFrame, pages: DataFrame | None, *, extracted: DataF
             rows = durable(rows)
         wanted = rows.where("found_page is not null").select(F.col("found_page").alias("page_id")).distinct()
         extracted = extract_pages(pages.join(wanted, "page_id", "left_semi"), options.max_html_bytes)
-    return answers(rows, extracted)
+    return rows, extracted
 
 
 def _with_page(rows: DataFrame, pages: DataFrame, snapshots: DataFrame | None) -> DataFrame:

@@ -58,3 +58,11 @@ IMAGE_META = T.StructType([
     T.StructField("height", T.IntegerType()),
     T.StructField("n_bytes", T.LongType()),
 ])
+
+LANDED_IMAGES = T.StructType([
+    T.StructField("image_url", T.StringType()),
+    T.StructField("mime", T.StringType()),
+    T.StructField("width", T.IntegerType()),
+    T.StructField("height", T.IntegerType()),
+    T.StructField("n_bytes", T.LongType()),
+])
