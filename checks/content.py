@@ -63,7 +63,6 @@ _UNSEEN, _RAW, _AROUND = ["script", "style", "noscript", "template", "svg", "ifr
 HIDDEN_PATTERN = "(?is)<(?:" + "|".join(
     [r"!--.*?(?:-->|\z)", r"svg(?:[ \t\r\n\f/][^>]*)?/>", *[_part(n, f".*?</{n}[^>]*>") for n in _UNSEEN], *[_part(n, r".*\z" if n in _RAW else "") for n in _UNSEEN]]
 ) + ")"
-CHROME_PATTERN = "(?is)<(?:" + "|".join([*[_part(n, f".*?</{n}[^>]*>") for n in _AROUND], *[_part(n, "") for n in _AROUND]]) + ")"
 _BLOCKS = "(" + ", ".join(q(t) for t in BLOCK_TAGS) + ")"
 
 
@@ -71,8 +70,20 @@ def drop_hidden(x: str) -> str:
     return f"regexp_replace({x}, {q(HIDDEN_PATTERN)}, '', 'g')"
 
 
-def drop_chrome(x: str) -> str:
-    return f"regexp_replace({x}, {q(CHROME_PATTERN)}, '', 'g')"
+def chrome_ctes(to: str, source: str, column: str) -> list[tuple[str, str]]:
+    """CTEs ending in ``to`` (page_id, bare): the column without navigation, asides and footers, by depth over the rows of their tags."""
+    tag = q(f"(?i)</?(?:{'|'.join(_AROUND)})(?:[{WS}/][^>]*)?>")
+    step = lambda n: f"case when lower(regexp_extract(tag, '([a-zA-Z]+)')) <> '{n}' then 0 when tag like '</%' then -1 when tag like '%/>' then 0 else 1 end"
+    each = lambda make: ", ".join(make(n) for n in _AROUND)
+    order = "over (partition by page_id order by idx"
+    return [
+        (f"{to}_cut", f"""select page_id, idx, gaps[idx + 1] as gap, case when idx > 0 then tags[idx] else '<>' end as tag from (select page_id, gaps, tags, unnest(range(len(gaps))) as idx
+            from (select page_id, regexp_split_to_array({column}, {tag}) as gaps, regexp_extract_all({column}, {tag}) as tags from {source}))"""),
+        (f"{to}_sum", f"select page_id, idx, gap, {each(lambda n: f'sum({step(n)}) {order}) as {n}')} from {to}_cut"),
+        (f"{to}_deep", f"select page_id, idx, gap, {each(lambda n: f'{n} - least(0, min({n}) {order})) as {n}')} from {to}_sum"),
+        (f"{to}_out", f"select page_id, idx, gap, {' and '.join(f'{n} = min({n}) {order} rows between current row and unbounded following)' for n in _AROUND)} as outside from {to}_deep"),
+        (to, f"select page_id, string_agg(case when outside then gap else '' end, '' order by idx) as bare from {to}_out group by page_id"),
+    ]
 
 
 def collapse(x: str) -> str:
@@ -155,16 +166,18 @@ def inner(x: str, tag: str) -> str:
 
 def region_sql(source: str) -> list[tuple[str, str]]:
     """CTEs ending in ``region`` (page_id, content, source_rule, error_code)."""
-    no_head = (f"regexp_replace(c, '(?is)<!doctype[^>]*>|</?html(?:[{WS}][^>]*)?>|<head(?:[{WS}][^>]*)?>.*?</head[^>]*>"
-               f"|<title(?:[{WS}][^>]*)?>.*?</title[^>]*>', '', 'g')")
+    def body(x: str) -> str:
+        no_head = (f"regexp_replace({x}, '(?is)<!doctype[^>]*>|</?html(?:[{WS}][^>]*)?>|<head(?:[{WS}][^>]*)?>.*?</head[^>]*>"
+                   f"|<title(?:[{WS}][^>]*)?>.*?</title[^>]*>', '', 'g')")
+        return f"case when regexp_matches({x}, '(?i)<body[{WS}/>]') then {inner(x, 'body')} else {no_head} end"
+
     return [
         ("rc", f"select page_id, {drop_hidden('html')} as c from {source}"),
-        ("ri", f"""select page_id, {inner('c', 'article')} as art, {inner('c', 'main')} as mn,
-            case when regexp_matches(c, '(?i)<body[{WS}/>]') then {inner('c', 'body')} else {no_head} end as bd from rc"""),
-        ("rw", f"select *, {text_words('art')} as aw, {text_words('mn')} as mw, {text_words(drop_chrome('bd'))} as bw from ri"),
+        *chrome_ctes("r_bare", "rc", "c"),
+        ("ri", f"select page_id, {body('c')} as whole_bd, {inner('bare', 'article')} as art, {inner('bare', 'main')} as mn, {body('bare')} as bd from rc join r_bare using (page_id)"),
+        ("rw", f"select *, {text_words('art')} as aw, {text_words('mn')} as mw, {text_words('bd')} as bw from ri"),
         ("ru", f"""select *, case when not ({blank('art')}) and aw * 3 >= bw then 'article' when not ({blank('mn')}) and mw * 3 >= bw then 'main' else 'body' end as rule from rw"""),
-        ("rp", "select page_id, rule, case rule when 'article' then art when 'main' then mn else bd end as pick from ru"),
-        ("rr", f"select page_id, rule, case when {blank(drop_chrome('pick'))} then pick else {drop_chrome('pick')} end as html from rp"),
+        ("rr", f"select page_id, rule, case rule when 'article' then art when 'main' then mn else case when {blank('bd')} then whole_bd else bd end end as html from ru"),
         ("rtok", tokens_sql("(select page_id, html from rr where rule = 'body')", "html")),
         ("rt1", f"""select *, case when tag in {_BLOCKS} then 1 else 0 end as brk,
             sum(case when tag in {_BLOCKS} then 1 else 0 end) over (partition by page_id order by idx) as b,

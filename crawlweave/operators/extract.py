@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlweave.functions.html import (
-    BLOCK_TAGS, WS, attribute, collapse, decode_entities, drop_chrome, drop_hidden, is_blank, is_tag, tag_attrs,
+    BLOCK_TAGS, WS, attribute, collapse, decode_entities, drop_hidden, is_blank, is_tag, open_end, tag_attrs,
     tag_name, tokens, word_count,
 )
 from crawlweave.functions.urls import filename_from_url
 from crawlweave.operators.markdown import to_markdown
+from crawlweave.operators.spans import without_elements
 from crawlweave.options import DEFAULTS
 
 
@@ -127,7 +128,8 @@ def _inner(html: Column, tag: str) -> Column:
 
 
 def _text_words(html: Column) -> Column:
-    return word_count(F.regexp_replace(html, "<[^>]*>", " "))
+    rest = open_end(html)  # no tag ends in it
+    return word_count(F.concat(F.regexp_replace(F.left(html, F.length(html) - F.length(rest)), "<[^>]*>", " "), rest))
 
 
 def _holds_the_text(html: Column, body: Column) -> Column:
@@ -138,35 +140,35 @@ def _holds_the_text(html: Column, body: Column) -> Column:
 def region_candidates(pages: DataFrame, cleaned: bool = False) -> DataFrame:
     """Add ``region`` and ``rule`` (article, main, body) by tags alone; ``html`` is dropped. No shuffle.
 
-    Navigation, asides and footers are taken out of the region unless nothing else is in it.
+    Navigation, asides and footers are taken out of the page first, unless nothing else is in its body.
     """
     keep = [c for c in pages.columns if c != "html"]
-    clean, article, main = F.col("_clean"), F.col("_article"), F.col("_main")
-    no_head = F.regexp_replace(
-        clean,
-        rf"(?is)<!doctype[^>]*>|</?html(?:[{WS}][^>]*)?>|<head(?:[{WS}][^>]*)?>.*?</head[^>]*>"
-        rf"|<title(?:[{WS}][^>]*)?>.*?</title[^>]*>", "",
-    )
-    body = F.when(clean.rlike(rf"(?i)<body[{WS}/>]"), _inner(clean, "body")).otherwise(no_head)
+    article, main, body = F.col("_article"), F.col("_main"), F.col("_body")
     # one select per step: each pattern runs once per page
+    bare = without_elements(pages.select(*keep, (F.col("html") if cleaned else drop_hidden(F.col("html"))).alias("_clean")), "_clean", "_bare")
     return (
-        pages.select(*keep, (F.col("html") if cleaned else drop_hidden(F.col("html"))).alias("_clean"))
-        .select(*keep, _inner(clean, "article").alias("_article"), _inner(clean, "main").alias("_main"), body.alias("_body"))
-        .select(*keep, "_article", "_main", "_body", drop_chrome(F.col("_body")).alias("_rest"))
+        bare.select(*keep, "_clean", _inner(F.col("_bare"), "article").alias("_article"), _inner(F.col("_bare"), "main").alias("_main"), _body(F.col("_bare")).alias("_body"))
         .select(
-            *keep, "_article", "_main", "_body",
-            F.when(_holds_the_text(article, F.col("_rest")), "article")
-            .when(_holds_the_text(main, F.col("_rest")), "main").otherwise("body").alias("rule"),
+            *keep, "_clean", "_article", "_main", "_body",
+            F.when(_holds_the_text(article, body), "article").when(_holds_the_text(main, body), "main").otherwise("body").alias("rule"),
         )
         .select(
             *keep, "rule",
-            F.when(F.col("rule") == "article", article).when(F.col("rule") == "main", main).otherwise(F.col("_body")).alias("_pick"),
+            F.when(F.col("rule") == "article", article).when(F.col("rule") == "main", main)
+            .when(is_blank(body), _body(F.col("_clean"))).otherwise(body).alias("region"),
         )
-        .select(*keep, "rule", "_pick", drop_chrome(F.col("_pick")).alias("_bare"))
-        .select(*keep, "rule", F.when(is_blank(F.col("_bare")), F.col("_pick")).otherwise(F.col("_bare")).alias("region"))
     )
 
 
+def _body(html: Column) -> Column:
+    no_head = F.regexp_replace(
+        html,
+        rf"(?is)<!doctype[^>]*>|</?html(?:[{WS}][^>]*)?>|<head(?:[{WS}][^>]*)?>.*?</head[^>]*>"
+        rf"|<title(?:[{WS}][^>]*)?>.*?</title[^>]*>", "",
+    )
+    return F.when(html.rlike(rf"(?i)<body[{WS}/>]"), _inner(html, "body")).otherwise(no_head)
+
+
 def main_region(pages: DataFrame, keep: tuple[str, ...] = (), cleaned: bool = False) -> DataFrame:
     """``page_id``, the columns to keep, ``content`` (cleaned HTML), ``source_rule`` and ``error_code``.
 
