@@ -186,9 +186,12 @@ class Lines:
 
     def block(self, lines: list[str]) -> None:
         for line in lines:
-            self._begin()
-            self.current += line
-            self.break_to(1)
+            if line:
+                self._begin()
+                self.current += line
+                self.break_to(1)
+            elif self.lines:  # an empty line is one more line end
+                self.gap += 1
 
     def done(self) -> list[str]:
         self.break_to(0)
