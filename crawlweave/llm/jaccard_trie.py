@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from crawlweave.llm.components import components
 from crawlweave.llm.hashing import mix, signed, text_runs, windows, words_of
+from crawlweave.llm.memory import released
 from crawlweave.llm.staging import fresh, staged
 
 SIZE = 5
@@ -301,15 +302,15 @@ def shingle_components(docs: DataFrame, size: int = SIZE, part: int = PART) -> t
     counts = spark.sparkContext.broadcast(bucket_counts(texts))  # BUCKETS numbers
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = texts.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows = staged(texts.mapInArrow(set_keys(counts, size), f"doc_id {kind}, th bigint, s1 bigint, s2 bigint, n bigint"), "sets")
+    rows = staged(texts.mapInArrow(released(set_keys(counts, size)), f"doc_id {kind}, th bigint, s1 bigint, s2 bigint, n bigint"), "sets", arrow_rows=1_000)
     lists = "s1 bigint, s2 bigint, n bigint, shingles array<bigint>, fronts bigint"
     distinct = lambda df: df.where("n > 0").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("fronts").alias("fronts"))
-    fronts = distinct(texts.select("text").mapInArrow(set_keys(counts, size, _front), lists))
+    fronts = distinct(texts.select("text").mapInArrow(released(set_keys(counts, size, _front)), lists))
     blocks = staged(components(_chained(fronts)), "blocks").select(F.col("node").alias("s1"), F.col("root").alias("block"))
     # the sets of the classes in blocks are cut anew from one text each
     pick = staged(rows.join(blocks, "s1", "left_semi").groupBy("s1", "s2").agg(F.min("th").alias("th")).select("th").distinct(), "picked")
     again = texts.join(F.broadcast(pick) if pick.count() <= SMALL else pick, "th", "left_semi").select("text")
-    sets = distinct(again.mapInArrow(set_keys(counts, size, _whole), lists)).drop("fronts")
+    sets = distinct(again.mapInArrow(released(set_keys(counts, size, _whole)), lists)).drop("fronts")
     sets = staged(sets.join(blocks, "s1"), "blocksets")
     parts = sets.groupBy("block").agg(F.ceil(F.sum("n") / part).alias("parts"), F.count("*").alias("members"))
     cut = sets.join(parts, "block").withColumn("draw", F.pmod(F.xxhash64("s1", "s2"), F.lit(1 << 40)))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from crawlweave.llm.hashing import in_slices
+from crawlweave.llm.memory import release, released
 from crawlweave.llm.staging import fresh, staged
 
 ROWS_PER_LANGUAGE = 4_000
@@ -105,8 +106,8 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, max_words:
     from pyspark.sql import Window
 
     schema, key = "lang string, size int, piece string, n bigint", ("lang", "size", "piece")
-    words = staged(training_rows(docs, rows_per_language).mapInArrow(_count_words, schema).groupBy(*key).agg(F.sum("n").alias("n")), "words")
-    parts = words.select("lang", "piece", "n").mapInArrow(_count_grams, schema).groupBy(*key).agg(F.sum("n").alias("n"))
+    words = staged(training_rows(docs, rows_per_language).mapInArrow(released(_count_words), schema).groupBy(*key).agg(F.sum("n").alias("n")), "words")
+    parts = words.select("lang", "piece", "n").mapInArrow(released(_count_grams), schema).groupBy(*key).agg(F.sum("n").alias("n"))
     pieces = words.unionByName(staged(parts, "grams"))
     # a vocabulary per language: a piece in a language's commonest few is kept with its counts in all languages
     by_rank = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "piece")
@@ -183,6 +184,7 @@ def predictor(model: dict):
     @F.arrow_udf("struct<lang:string,score:double,known:double>")
     def predict(text: pa.Array) -> pa.Array:
         rows = [judged(model, t.as_py(), cache) for t in text]
+        release()
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64()))], ["lang", "score", "known"])
 
     return predict
@@ -205,6 +207,7 @@ def with_known_language(docs: DataFrame, min_score: float = MIN_SCORE, min_known
     words less than min_known is known go."""
     model = fit(docs.where(~is_held_out(F.col("doc_id"))))
     (name,) = fresh(docs, "language")
-    out = docs.withColumn(name, predictor(model)(F.col("text").cast("string")))
+    # written here, a thousand texts at a time: the executors hold what earlier stages needed already
+    out = staged(docs.withColumn(name, predictor(model)(F.col("text").cast("string"))), "languages", arrow_rows=1_000)
     known = (F.col(name)["known"] > 0) & (F.col(name)["known"] >= min_known)
     return out.where((F.col(name)["lang"] != "und") & (F.col(name)["score"] >= min_score) & known).drop(name)

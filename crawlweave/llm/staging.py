@@ -11,15 +11,25 @@ from crawlweave.durability import shared_folder
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
-    """Write df as Parquet below spark.checkpoint.dir and read it back; nothing else uses the shuffle files of the write."""
+#: Rows that a Python function gets at a time.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def staged(df: DataFrame, purpose: str, arrow_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet below spark.checkpoint.dir and read it back; nothing else uses the shuffle files of the write.
+
+    With `arrow_rows` its Python functions get that many rows at a time, so that whole texts take little memory on both sides.
+    """
     path, conf = shared_folder(df.sparkSession, purpose), df.sparkSession.conf
-    before = conf.get(CLEANUP)
-    conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | ({ARROW_ROWS: str(arrow_rows)} if arrow_rows else {})
+    before = {key: conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        conf.set(CLEANUP, before)
+        for key, value in before.items():
+            conf.set(key, value)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
