@@ -296,7 +296,7 @@ def _chained(fronts: DataFrame) -> DataFrame:
 
 
 def shingle_components(docs: DataFrame, size: int = SIZE, part: int = PART) -> tuple[DataFrame, DataFrame, object]:
-    """(rows, labels, counts): rows doc_id, s1, s2, n; labels node, root for the classes that have links."""
+    """(rows, labels, counts): rows doc_id, th (hash of the text), s1, s2, n; labels node, root for the classes that have links."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(bucket_counts(texts))  # BUCKETS numbers
@@ -322,7 +322,7 @@ def shingle_components(docs: DataFrame, size: int = SIZE, part: int = PART) -> t
     if not large.isEmpty():
         links = links.unionByName(_between_parts(sets.join(large, "block", "left_semi"), labels, counts, part))
         labels = components(links)
-    return rows.drop("shingles", "th"), labels, counts
+    return rows, labels, counts
 
 
 def _between_parts(sets: DataFrame, labels: DataFrame, counts, part: int) -> DataFrame:
@@ -363,40 +363,24 @@ def component_report(docs: DataFrame) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """Of each component the document with the smallest doc_id (of equal ones the one with the smallest text), as it is.
+    """Of each component the document with the smallest doc_id (of equal ones the one whose text has the smallest hash), as it is.
 
     Documents without shingles all stay.
     """
-    rows, labels, counts = shingle_components(docs)
+    rows, labels, _ = shingle_components(docs)
     by = labels.select(F.col("node.s1").alias("s1"), F.col("node.s2").alias("s2"), "root")
     per_class = rows.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("least"))
     per_class = per_class.join(by, ["s1", "s2"], "left").withColumn("root", F.coalesce("root", F.struct("s1", "s2")))
     winner = per_class.groupBy("root").agg(F.min(F.struct("least", "s1", "s2")).alias("w"))
     winner = winner.select(F.col("w.s1").alias("s1"), F.col("w.s2").alias("s2"), F.col("w.least.doc_id").alias("doc_id"))
-    # every class has one winner at most, so this join only filters; rows that tie on doc_id and set are told apart by text
-    row, key = fresh(docs, "row", "key")
-    kind = F.struct(F.struct(*docs.columns).alias(row), F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    whole = docs.select(kind.alias(key))
-    sig = signature()(F.col(key)["text"])
-    whole = whole.withColumn("sig", sig).select(F.col(key)[row].alias(row), F.col(key)["doc_id"].alias("d"), F.md5(F.coalesce(F.col(key)["text"], F.lit("")).cast("binary")).alias("m"), F.col("sig.s1").alias("s1"), F.col("sig.s2").alias("s2"), F.col("sig.n").alias("n"))
+    # of rows that tie on doc_id and set the one whose text has the smallest hash, found in the table of sets: no text is cut again
     winner = winner.withColumnRenamed("doc_id", "wd")
-    kept = whole.where("n > 0").join(winner, (whole["s1"] == winner["s1"]) & (whole["s2"] == winner["s2"]) & whole["d"].eqNullSafe(winner["wd"]))
-    kept = kept.select(whole["s1"], whole["s2"], "d", "m", row)
-    kept = kept.groupBy("s1", "s2", "d").agg(F.min_by(row, "m").alias(row))
-    out = kept.select(row).unionByName(whole.where("n = 0").select(row))
+    tied = rows.where("n > 0").join(winner, (rows["s1"] == winner["s1"]) & (rows["s2"] == winner["s2"]) & rows["doc_id"].eqNullSafe(winner["wd"]))
+    picks = tied.groupBy(rows["s1"], rows["s2"], "wd").agg(F.min("th").alias("wth")).select("wd", "wth")
+    (row,) = fresh(docs, "row")
+    text = F.col("text").cast("string")
+    whole = docs.select(F.struct(*docs.columns).alias(row), F.col("doc_id").alias("d"), F.xxhash64(text).alias("th"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    kept = whole.where("worded").join(picks, (whole["th"] == picks["wth"]) & whole["d"].eqNullSafe(picks["wd"]))
+    kept = kept.groupBy("th", "d").agg(F.first(row).alias(row))  # repeated rows are one
+    out = kept.select(row).unionByName(whole.where("not worded").select(row))
     return out.select(*[F.col(row)[c].alias(c) for c in docs.columns])
-
-
-def _signatures(text: pa.Array, size: int) -> pa.Array:
-    keys = pa.Table.from_batches(set_keys(None, size)([pa.RecordBatch.from_arrays([text], ["text"])]), pa.schema([(c, pa.int64()) for c in ("s1", "s2", "n")]))
-    return pa.StructArray.from_arrays([keys[c].combine_chunks() for c in ("s1", "s2", "n")], ["s1", "s2", "n"])
-
-
-def signature(size: int = SIZE):
-    """A column function text -> struct(s1, s2, n), the key of its set; it doesn't depend on the global order."""
-
-    @F.arrow_udf("struct<s1:bigint,s2:bigint,n:bigint>")
-    def key(text: pa.Array) -> pa.Array:
-        return _signatures(text, size)
-
-    return key
