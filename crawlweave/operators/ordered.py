@@ -1,29 +1,48 @@
-"""Ordered work per key that survives one key holding most of the rows.
+"""Ordered work per key that survives one key, or one instant of a key, holding most of the rows.
 
-Rows of a key are cut into chunks along the order. Each chunk is a window partition of its
-own; what crosses a chunk border is one small row per (key, chunk).
+Rows are put in order of key and time and cut into segments of about equal row counts, whatever keys and times they have. Each
+(key, segment) is a window partition of its own; what crosses a border is one small row per (key, segment).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from crawlweave.durability import written
 from crawlweave.functions.times import epoch_us, floor_div
 
 
-def numbered(df: DataFrame, key: str, order: str, tie: str, chunk_width: int) -> DataFrame:
-    """Add ``n``: the 1-based rank of a row within its key, by the bigint ``order``, then ``tie``."""
-    rows = df.withColumn("_chunk", floor_div(F.col(order), chunk_width))
-    counts = rows.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+def segmented(df: DataFrame, key: str, order: str, tie: str | None = None, chunk_width: int | None = None) -> DataFrame:
+    """``df`` with ``_segment``, a bigint that grows with (key, order, tie) and is shared by about the same number of rows.
+
+    A range partitioning draws the borders from a sample, as many segments as ``spark.sql.shuffle.partitions`` says, and
+    the table is written once, so that all that read it see the same borders. Only rows equal in key, order and tie
+    can't be parted. With ``chunk_width`` no segment reaches over a multiple of that many units of the bigint ``order`` either.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [key, order] + ([tie] if tie and tie != order else [])
+    segment = F.spark_partition_id().cast("bigint")
+    cut = written(df.repartitionByRange(parts, *by).withColumn("_segment", segment), "segments")
+    if chunk_width:
+        # chunks and segments both grow with the order, and so does their sum, within a key
+        cut = cut.withColumn("_segment", F.col("_segment") + floor_div(F.col(order), chunk_width))
+    return cut
+
+
+def numbered(df: DataFrame, key: str, order: str, tie: str, chunk_width: int | None = None) -> DataFrame:
+    """Add ``n``: the 1-based rank of a row within its key, by ``order``, then ``tie``."""
+    rows = segmented(df, key, order, tie, chunk_width)
+    counts = rows.groupBy(key, "_segment").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(key).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        F.col(key).alias("_of_key"), F.col("_chunk").alias("_of_chunk"),
+        F.col(key).alias("_of_key"), F.col("_segment").alias("_of_segment"),
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
     )
     # rows without a key are numbered among themselves
-    same = F.col(key).eqNullSafe(F.col("_of_key")) & (F.col("_chunk") == F.col("_of_chunk"))
-    inside = Window.partitionBy(key, "_chunk").orderBy(order, tie)
+    same = F.col(key).eqNullSafe(F.col("_of_key")) & (F.col("_segment") == F.col("_of_segment"))
+    inside = Window.partitionBy(key, "_segment").orderBy(order, tie)
     return (
         rows.join(offsets, same)
         .withColumn("n", F.col("_offset") + F.row_number().over(inside))
@@ -36,44 +55,45 @@ def newest_within(probes: DataFrame, marks: DataFrame, *, key: str, probe_ts: st
     """As-of join with a time limit.
 
     Each probe row gets ``mark_id`` and ``age_us`` of the newest mark of its key at or before it,
-    if that mark is at most ``ttl_us`` old (younger than it, if ``strict``). Chunks are ``ttl_us``
-    wide, so besides its own chunk only the last mark of the chunk before can matter: that one
-    mark is copied over the border, and a hot key is as many tasks as it has chunks.
+    if that mark is at most ``ttl_us`` old (younger than it, if ``strict``); of marks at one time the greatest counts. A probe
+    without key or time finds none.
+
+    Instants decide, not rows: probes and marks are first reduced to one row per key and time, which are scanned in
+    segments; the last mark before a segment comes over its border. The answers then meet the probes by key and time.
     """
-    columns = probes.columns
-    payload = F.struct(*[F.col(c) for c in columns])
-    probe_rows = probes.select(
-        F.col(key).alias("_key"), epoch_us(probe_ts).alias("_t"), F.lit(1).alias("_side"),
-        F.lit(None).cast("bigint").alias("_mark"), payload.alias("_row"),
-    ).withColumn("_chunk", floor_div(F.col("_t"), ttl_us))
-    mark_rows = marks.select(
-        F.col(key).alias("_key"), epoch_us(mark_ts).alias("_t"), F.lit(0).alias("_side"),
-        F.col(mark_id).cast("bigint").alias("_mark"),
-        F.lit(None).cast(probe_rows.schema["_row"].dataType).alias("_row"),
-    ).withColumn("_chunk", floor_div(F.col("_t"), ttl_us))
-    carried = (
-        mark_rows.groupBy("_key", "_chunk").agg(F.max(F.struct("_t", "_mark")).alias("_last"))
-        .select(
-            "_key", F.col("_last._t").alias("_t"), F.lit(0).alias("_side"), F.col("_last._mark").alias("_mark"),
-            F.lit(None).cast(probe_rows.schema["_row"].dataType).alias("_row"), (F.col("_chunk") + 1).alias("_chunk"),
-        )
+    asked = probes.select(
+        F.col(key).alias("_key"), epoch_us(probe_ts).alias("_t"), F.lit(True).alias("_asked"),
+        F.lit(None).cast("struct<_t:bigint,_mark:bigint>").alias("_stored"),
+    )
+    stored = marks.select(F.col(key).alias("_key"), epoch_us(mark_ts).alias("_t"), F.col(mark_id).cast("bigint").alias("_mark"))
+    stored = stored.select("_key", "_t", F.lit(False).alias("_asked"), F.struct("_t", "_mark").alias("_stored"))
+    instants = (
+        asked.unionByName(stored).where("_key IS NOT NULL AND _t IS NOT NULL")
+        .groupBy("_key", "_t").agg(F.max("_asked").alias("_asked"), F.max("_stored").alias("_stored"))
     )
-    running = (
-        Window.partitionBy("_key", "_chunk").orderBy("_t", "_side", "_mark")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = segmented(instants, "_key", "_t")
+    before = Window.partitionBy("_key").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    borders = (
+        rows.groupBy("_key", "_segment").agg(F.max("_stored").alias("_last"))
+        .withColumn("_carried", F.max("_last").over(before)).where("_carried IS NOT NULL").drop("_last")
     )
-    seen = F.last(F.when(F.col("_side") == 0, F.struct("_t", "_mark")), ignorenulls=True).over(running)
+    running = Window.partitionBy("_key", "_segment").orderBy("_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     age = F.col("_t") - F.col("_seen._t")
     fits = (age < ttl_us) if strict else (age <= ttl_us)
-    return (
-        probe_rows.unionByName(mark_rows).unionByName(carried)
-        .withColumn("_seen", seen)
-        .where("_side = 1")
-        .select(
-            *[F.col("_row")[c].alias(c) for c in columns],
-            F.when(fits, F.col("_seen._mark")).alias(mark_id),
-            F.when(fits, age).alias("age_us"),
-        )
+    answers = (
+        rows.withColumn("_seen", F.last("_stored", ignorenulls=True).over(running))
+        .where("_asked")
+        .join(borders, ["_key", "_segment"], "left")
+        .withColumn("_seen", F.coalesce("_seen", "_carried"))
+        .where(fits)
+        .select("_key", "_t", F.lit(0).alias("_filler"), F.col("_seen._mark").alias("_mark"), age.alias("_age"))
+    )
+    # probes without a key meet no answer; they are dealt out instead of meeting in one task
+    spread = F.pmod(F.xxhash64(*[f.name for f in probes.schema if isinstance(f.dataType, T.AtomicType)]), F.lit(1 << 20)).cast("int")
+    filler = F.when(F.col(key).isNull() | F.col(probe_ts).isNull(), spread).otherwise(0)
+    at = probes.withColumns({"_key": F.col(key), "_t": epoch_us(probe_ts), "_filler": filler})
+    return at.join(answers, ["_key", "_t", "_filler"], "left").select(
+        *probes.columns, F.col("_mark").alias(mark_id), F.col("_age").alias("age_us")
     )
 
 
