@@ -120,12 +120,61 @@ def pattern_matches(pattern: Column, path: Column) -> Column:
     return F.when(plain, path.startswith(pattern)).when(anchored, closed).otherwise(found)
 
 
-def rule_verdict(rules: Column, path: Column) -> Column:
-    """allow or disallow: the longest matching pattern decides, allow wins a tie."""
-    matching = F.filter(rules, lambda r: pattern_matches(r["pattern"], path))
-    best = F.array_max(
-        F.transform(matching, lambda r: F.struct(F.length(r["pattern"]).alias("len"), (r["kind"] == "allow").alias("ok")))
+def _longest(rules: Column) -> Column:
+    """len and ok of the rule that decides among matching ones: the longest, allow wins a tie."""
+    return F.array_max(F.transform(rules, lambda r: F.struct(F.length(r["pattern"]).alias("len"), r["ok"].alias("ok"))))
+
+
+def _literal(pattern: Column) -> Column:
+    return ~pattern.contains("*") & ~pattern.endswith("$")
+
+
+def rule_tables(snapshots: DataFrame, agent: str = DEFAULTS.user_agent) -> DataFrame:
+    """One row per robots_id with the rules that bind ``agent``, made to be looked up: wild, lengths, buckets.
+
+    Rules without ``*`` and ``$`` match the paths they begin. They lie in ``buckets``, as many as there are such rules, by the hash
+    of their pattern, and ``lengths`` are the lengths that occur, so a path asks for its beginnings of those lengths only. The
+    others, in ``wild``, have to be tried one by one. All is worked out on the partitioning that put the files together.
+    """
+    rule = lambda r: F.struct(r["pattern"].alias("pattern"), (r["kind"] == "allow").alias("ok"))
+    files = agent_rules(snapshots, agent).select(
+        "robots_id",
+        F.transform(F.filter("rules", lambda r: ~_literal(r["pattern"])), rule).alias("wild"),
+        F.transform(F.filter("rules", lambda r: _literal(r["pattern"])), rule).alias("_literals"),
     )
+    n = F.size("_literals")
+    placed = F.transform("_literals", lambda r: F.struct(
+        F.pmod(F.xxhash64(r["pattern"]), n).cast("int").alias("bucket"), r["pattern"].alias("pattern"), r["ok"].alias("ok")))
+    # every bucket has a row, so that their array has no gaps
+    every = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.struct(
+        i.alias("bucket"), F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("boolean").alias("ok")))
+    lengths = F.array_distinct(F.transform("_literals", lambda r: F.length(r["pattern"])))
+    return (
+        files.select("robots_id", "wild", lengths.alias("lengths"), F.posexplode(F.concat(placed, every)).alias("_at", "_r"))
+        # one row of a file carries what belongs to the whole file
+        .withColumn("wild", F.when(F.col("_at") == 0, F.col("wild"))).withColumn("lengths", F.when(F.col("_at") == 0, F.col("lengths")))
+        .groupBy("robots_id", F.col("_r.bucket").alias("_bucket"), F.col("_r.pattern").alias("pattern"))
+        .agg(F.max("_r.ok").alias("ok"), F.first("wild", True).alias("wild"), F.first("lengths", True).alias("lengths"))
+        .groupBy("robots_id", "_bucket")
+        .agg(F.collect_list(F.when(F.col("pattern").isNotNull(), F.struct("pattern", "ok"))).alias("_rules"),
+             F.first("wild", True).alias("wild"), F.first("lengths", True).alias("lengths"))
+        .groupBy("robots_id")
+        .agg(F.sort_array(F.collect_list(F.struct("_bucket", "_rules"))).alias("_buckets"),
+             F.first("wild", True).alias("wild"), F.first("lengths", True).alias("lengths"))
+        .select("robots_id", "wild", "lengths", F.transform("_buckets", lambda x: x["_rules"]).alias("buckets"))
+    )
+
+
+def rule_verdict(wild: Column, lengths: Column, buckets: Column, path: Column) -> Column:
+    """allow or disallow, by the columns of ``rule_tables``: the longest matching pattern decides, allow wins a tie."""
+
+    def beginning(length: Column) -> Column:
+        start = F.left(path, length)
+        bucket = F.get(buckets, F.pmod(F.xxhash64(start), F.size(buckets)).cast("int"))
+        return F.filter(bucket, lambda r: r["pattern"] == start)
+
+    literal = F.flatten(F.transform(F.filter(lengths, lambda x: x <= F.length(path)), beginning))
+    best = F.greatest(_longest(literal), _longest(F.filter(wild, lambda r: pattern_matches(r["pattern"], path))))
     return F.when(F.coalesce(best["ok"], F.lit(True)), "allow").otherwise("disallow")
 
 
@@ -142,18 +191,19 @@ def robots_gate(requests: DataFrame, snapshots: DataFrame, agent: str = DEFAULTS
     """Add ``robots_verdict``: allowed, disallowed or forbidden.
 
     ``requests`` has ``robots_id`` (null: no file known), ``path`` and ``ignore_robots``. The rules of
-    a file come as one array row, so the join keeps one row per request.
+    a file come as one row, so the join keeps one row per request; a path costs its length, however many rules without
+    ``*`` and ``$`` the file has, and one step for each of the others.
     """
     files = (
         robots_status(snapshots).select("robots_id", "policy")
-        .join(agent_rules(snapshots, agent), "robots_id", "left")
+        .join(rule_tables(snapshots, agent), "robots_id", "left")
     )
     path = F.when(F.col("path") == "", "/").otherwise(F.col("path"))
     verdict = (
         F.when(F.col("ignore_robots"), "allowed")
         .when(F.col("policy") == "forbidden", "forbidden")
-        .when((F.col("policy") == "rules") & F.col("rules").isNotNull()
-              & (rule_verdict(F.col("rules"), path) == "disallow"), "disallowed")
+        .when((F.col("policy") == "rules") & F.col("buckets").isNotNull()
+              & (rule_verdict(F.col("wild"), F.col("lengths"), F.col("buckets"), path) == "disallow"), "disallowed")
         .otherwise("allowed")
     )
     joined = left_join_spread(requests, files, "robots_id") if "request_id" in requests.columns else requests.join(files, "robots_id", "left")
