@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlweave.durability import durable
+from crawlweave.durability import durable, written
 from crawlweave.functions.times import epoch_us
 from crawlweave.operators.admission import dns_guard, url_guard, url_parts
 from crawlweave.operators.extract import extract_pages
@@ -106,6 +106,9 @@ def _routed(requests: DataFrame, pages: DataFrame | None, *, extracted: DataFram
     """Requests with the page that answers them or an error, and the texts of those pages."""
     rows = admitted_requests(requests, resolutions, blocked_hosts, options)
     if snapshots is not None:
+        if not rows.isStreaming:
+            # the as-of join reads the rows for their instants and again for its answers; parsing and guards run once
+            rows = written(rows, "admitted")
         rows = fresh_snapshot(rows, snapshots, options.cache_ttl_s, newest).drop("age_us")
         rows = rows.withColumn("from_cache", F.col("cache_hit") & F.col("error_code").isNull()).drop("cache_hit")
     else:
