@@ -34,6 +34,7 @@ _CODED = f"""select request_id, attempt, ts, url, status, n_bytes, code as error
   case when code like 'http!_%' escape '!' then 'HTTP ' || cast(status as string) end as error_detail
   from (select *, {_RESPONSE} as code from fetch_log)"""
 
+# fixed values: the texts of messages and error codes here and in messages_sql have to be these
 _MESSAGES = """case
   when error_code in ('ssrf_blocked', 'localhost_blocked') then 'Security blocked: ' || t || '. This URL resolves to a private or reserved address and cannot be fetched.'
   when error_code = 'robots_disallowed' then 'This URL is disallowed by robots.txt. You can bypass this by setting security.ignoreRobotsTxt to true (if your client supports it).'
