@@ -3,18 +3,20 @@
 A line is the set of its words. Lines with equal sets are one class, placed where it first occurs; every later line of a
 class goes. Of the classes, those go that have a Jaccard index of 0.8 or more with a class placed earlier (itself kept or not):
 
-1. Words are ordered by rarity: by a count over all lines in a fixed table of `BUCKETS` counters (a byte each), then by hash. Each set
+1. Words are ordered by rarity: by a count over all texts in a fixed table of `BUCKETS` counters (a byte each), then by hash. Each set
    gives its first n - ceil(0.8 n) + 1 words to an inverted index.
-2. Within a word's entries every class is first compared with the earliest one only. Clusters of near copies end here.
-3. Classes that have not matched are then joined with all earlier entries of their words.
+2. Words with at most `FEW` entries are joined with themselves: at most so many partners an entry.
+3. The entries of more frequent words are met in rounds: first a small share of the classes, drawn by hash, is joined with all,
+   then four times as many, at last all. A class that has matched leaves before the next round, so that members of large
+   groups of near copies meet few others, while a class without a match has met every earlier entry of its words in the end.
 
-Both joins let a pair through only if its sizes allow the overlap, its positions do (what can be common before and behind the
+The joins let a pair through only if its sizes allow the overlap, its positions do (what can be common before and behind the
 shared word), and its parity words do: each set has 128 bits in two words, one flipped by each word of the set, and two sets
 differ in at least as many words as bits. What is left is verified on the words themselves.
 
 Defined results: a null text has no lines, an empty one has one blank line; lines without words stay; order is doc_id
-(null last), then line number; rows with one doc_id count as one document, so equal rows have equal results; very long
-lines are sets like any others; an empty table gives an empty result. Only doc_id and text are read. Equal sets are told
+(null last), then line number; rows with one doc_id count as one document and share their line numbers (one stays in all of
+them or in none), so equal rows have equal results; very long lines are sets like any others; an empty table gives an empty result. Only doc_id and text are read. Equal sets are told
 by two 64-bit hashes, words by one.
 """
 
@@ -31,8 +33,8 @@ OVER, UNDER = 80, 100
 BUCKETS = 1 << 18
 #: The words of the inverted index are met in so many passes, one after the other, so that the disk holds a share of it at a time.
 PASSES = 4
-#: Keys that are broadcast to pick lines or classes; more of them are joined by shuffling.
-SMALL = 1_000_000
+#: A word with more entries than this is met in rounds.
+FEW = 64
 #: Found in a line that has words.
 FILLED = r"[^\x20\x09-\x0D]"
 _LAST = (1 << 63) - 1
@@ -44,24 +46,30 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select(d, F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("i", "line"))
 
 
-def words_of(line: Column) -> Column:
-    """The distinct words of a line; patterns are left to lines with white space other than blanks."""
+def pieces_of(line: Column) -> Column:
+    """The words of a line and empty texts between them; patterns are left to lines with white space other than blanks."""
     other = [F.contains(line, F.lit(c)) for c in "\t\n\v\f\r"]
-    words = F.when(reduce(or_, other), F.split(line, r"[\x20\x09-\x0D]")).otherwise(F.split(line, " "))
-    return F.array_remove(F.array_distinct(words), "")
+    return F.when(reduce(or_, other), F.split(line, r"[\x20\x09-\x0D]")).otherwise(F.split(line, " "))
+
+
+def words_of(line: Column) -> Column:
+    """The distinct words of a line."""
+    return F.array_remove(F.array_distinct(pieces_of(line)), "")
 
 
 def hashes_of(line: Column) -> Column:
-    return F.transform(words_of(line), lambda w: F.xxhash64(w))
+    """The hashes of the distinct words of a line, ascending."""
+    hashes = F.array_distinct(F.transform(pieces_of(line), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.array_except(hashes, F.array(F.xxhash64(F.lit("")))))
 
 
 def _bucket(h: Column) -> Column:
-    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+    return h.bitwiseAND(BUCKETS - 1).cast("int")
 
 
 def rarity_table(lines: DataFrame) -> bytes:
-    """BUCKETS bytes: for each bucket the count of its (line, word) pairs, on a logarithmic scale with six steps a doubling."""
-    words = lines.select(F.explode(words_of(F.col("line"))).alias("word"))
+    """BUCKETS bytes: for each bucket the count of its words in all lines, on a logarithmic scale with six steps a doubling."""
+    words = lines.select(F.explode(pieces_of(F.col("line"))).alias("word"))
     counts = words.select(_bucket(F.xxhash64("word")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     every = lines.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     step = F.least(F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1.0) * 6), F.lit(255))
@@ -70,6 +78,15 @@ def rarity_table(lines: DataFrame) -> bytes:
     return bytes(dense.agg(F.unhex(F.array_join(digits, "")).alias("steps")).first()["steps"])
 
 
+def _ranked(h: Column, rarity: bytes) -> Column:
+    """The words as numbers in order of rarity: the counter of a word above 56 bits of its hash."""
+    # one constant, folded once per plan
+    steps = F.split(F.lit(",".join(str(x - 128) for x in rarity)), ",").cast("array<bigint>")
+    # never null, so that the sort works on plain numbers
+    step = lambda x: F.coalesce(F.get(steps, _bucket(x)), F.lit(0).cast("bigint"))
+    return F.sort_array(F.transform(h, lambda x: F.shiftleft(step(x), 56).bitwiseOR(x.bitwiseAND((1 << 56) - 1))))
+
+
 def needed(n: Column, m: Column) -> Column:
     """Least overlap of sets of n and m words with Jaccard >= OVER / UNDER."""
     return F.ceil((n + m) * OVER / (OVER + UNDER))
@@ -86,16 +103,14 @@ def _possible(a: str, b: str) -> Column:
     return (need <= room) & (need <= most) & (differ <= n + m - 2 * need)
 
 
-def _semi(rows: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Keep or drop rows by a written table of keys, broadcast only if it is small."""
-    return rows.join(F.broadcast(keys) if keys.count() <= SMALL else keys, on, how)
+def _sets(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """d, i, words of the lines at distinct places."""
+    sets = lines.join(places, ["d", "i"], "left_semi").groupBy("d", "i").agg(F.min("line").alias("line"))
+    return sets.select("d", "i", words_of(F.col("line")).alias("words"))
 
 
-def _verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The distinct d, i of pairs (d, i) - (d2, i2) that are similar, seen on their words."""
-    ends = staged(pairs.select("d", "i").unionByName(pairs.select(F.col("d2").alias("d"), F.col("i2").alias("i"))).distinct(), "ends")
-    sets = _semi(lines, ends, ["d", "i"], "left_semi").groupBy("d", "i").agg(F.min("line").alias("line"))
-    sets = sets.select("d", "i", words_of(F.col("line")).alias("words"))
     other = sets.select(F.col("d").alias("d2"), F.col("i").alias("i2"), F.col("words").alias("words2"))
     joined = pairs.join(sets, ["d", "i"]).join(other, ["d2", "i2"])
     both = F.size(F.array_intersect("words", "words2"))
@@ -106,44 +121,64 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _first_pairs(entries: DataFrame) -> DataFrame:
-    """d, i, d2, i2: each class with the earliest class of each of its prefix words."""
-    # a word's earliest entry comes from the one shuffle of the entries by word
-    place, entry = F.struct("d", "i"), F.struct("d", "i", "n", "at", "low", "high")
-    first = entries.withColumn("e", F.min(entry).over(Window.partitionBy("t"))).where(place > F.struct("e.d", "e.i"))
-    one, two = F.struct("n", "at", "low", "high").alias("set"), F.struct("e.n", "e.at", "e.low", "e.high").alias("set2")
-    first = first.select("d", "i", one, F.col("e.d").alias("d2"), F.col("e.i").alias("i2"), two)
-    return first.where(_possible("set", "set2")).select("d", "i", "d2", "i2").distinct()
-
-
-def _other_pairs(entries: DataFrame, matched: DataFrame) -> DataFrame:
-    """d, i, d2, i2: each class that has not matched with all earlier classes of its prefix words."""
-    flat = entries.select("t", "d", "i", "n", "at", "low", "high")
-    left = _semi(flat, matched, ["d", "i"], "left_anti").select("t", "d", "i", F.struct("n", "at", "low", "high").alias("set"))
-    right = flat.select(F.col("t").alias("t2"), F.col("d").alias("d2"), F.col("i").alias("i2"), F.struct("n", "at", "low", "high").alias("set2"))
-    earlier = (F.col("d") > F.col("d2")) | ((F.col("d") == F.col("d2")) & (F.col("i") > F.col("i2")))
-    rest = left.hint("merge").join(right, (F.col("t") == F.col("t2")) & earlier & _possible("set", "set2"))
-    return rest.select("d", "i", "d2", "i2").distinct()
+def _pairs(late: DataFrame, early: DataFrame) -> DataFrame:
+    """d, i, d2, i2: entries with earlier entries of their word that may be similar."""
+    after = (F.col("a.d") > F.col("b.d")) | ((F.col("a.d") == F.col("b.d")) & (F.col("a.i") > F.col("b.i")))
+    joined = late.alias("a").hint("merge").join(early.alias("b"), (F.col("a.t") == F.col("b.t")) & after & _possible("a", "b"))
+    return joined.select("a.d", "a.i", F.col("b.d").alias("d2"), F.col("b.i").alias("i2")).distinct()
+
+
+def _matched_by_few(lines: DataFrame, entries: DataFrame, frequent: DataFrame) -> DataFrame:
+    """d, i of classes that resemble an earlier one with which they share a word of at most `FEW` entries."""
+    few, found = entries.join(frequent, "t", "left_anti"), []
+    for k in range(PASSES):
+        part = few.where(F.pmod(F.xxhash64("t"), F.lit(PASSES)) == k)
+        # both sides are one and the same shuffle
+        found.append(staged(_pairs(part, part), "pairs"))
+    pairs = _union(found).distinct()
+    ends = pairs.select("d", "i").unionByName(pairs.select(F.col("d2").alias("d"), F.col("i2").alias("i"))).distinct()
+    return _verified(staged(_sets(lines, ends), "sets"), pairs)
+
+
+def _matched_in_rounds(lines: DataFrame, entries: DataFrame, frequent: DataFrame, hottest: int, matched: DataFrame) -> list[DataFrame]:
+    """d, i of further classes, those that share a word of more than `FEW` entries with an earlier one they resemble."""
+    many = staged(entries.join(frequent, "t"), "frequent_entries")
+    sets = staged(_sets(lines, many.select("d", "i").distinct()), "sets")
+    found, share = [matched], 1
+    while FEW * share * 4 <= hottest:
+        share *= 4
+    while share:
+        # words that are too rare for this share wait for a larger one
+        some = many.where(F.col("entries") >= FEW * share)
+        late = some.join(_union(found), ["d", "i"], "left_anti")
+        pairs = staged(_pairs(late, some.where(F.pmod(F.xxhash64("d", "i"), F.lit(share)) == 0)), "pairs")
+        found.append(_verified(sets, pairs))
+        share //= 4
+    return found
 
 
 def kept_classes(docs: DataFrame) -> DataFrame:
     """d, i of the lines with words that stay: first of their class, and no earlier class resembles it."""
     lines = lines_of(docs)
-    rarity = F.lit(rarity_table(lines))
+    rarity = rarity_table(lines)
     hashed = lines.where(F.regexp_like("line", F.lit(FILLED))).select("d", "i", hashes_of(F.col("line")).alias("h"))
-    order = F.transform(F.sort_array(F.transform("h", lambda x: F.struct(F.substring(rarity, _bucket(x) + 1, F.lit(1)).alias("n"), x.alias("h")))), lambda x: x["h"])
+    hashed = hashed.select("d", "i", "h", F.size("h").alias("n"), F.size(F.filter("h", lambda x: x < 0)).alias("half"))
     flip = lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(63).cast("int")))
-    low, high = (F.aggregate(F.filter("h", lambda x: x.bitwiseAND(64) == half), F.lit(0).cast("bigint"), flip) for half in (0, 64))
-    hashed = hashed.select("d", "i", F.size("h").alias("n"), low.alias("low"), high.alias("high"), order.alias("h"))
-    prefix = F.slice("h", 1, (F.col("n") - F.ceil(F.col("n") * OVER / UNDER) + 1).cast("int"))
-    hashed = hashed.select("d", "i", "n", "low", "high", F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2"), prefix.alias("prefix"))
+    # the sign of a hash says which of the two parity words it flips
+    low = F.aggregate(F.slice("h", 1, F.col("half")), F.lit(0).cast("bigint"), flip)
+    high = F.aggregate(F.slice("h", F.col("half") + 1, F.col("n") - F.col("half")), F.lit(0).cast("bigint"), flip)
+    prefix = F.slice(_ranked(F.col("h"), rarity), 1, (F.col("n") - F.ceil(F.col("n") * OVER / UNDER) + 1).cast("int"))
+    hashed = hashed.select("d", "i", "n", low.alias("low"), high.alias("high"), F.xxhash64("h").alias("s1"), F.xxhash64(F.lit(1), "h").alias("s2"), prefix.alias("prefix"))
     classes = hashed.groupBy("s1", "s2").agg(F.min(F.struct("d", "i")).alias("place"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("prefix").alias("prefix"))
     classes = staged(classes.select("place.d", "place.i", "n", "low", "high", "prefix"), "classes")
     entries = classes.select("d", "i", "n", "low", "high", F.posexplode("prefix").alias("at", "t"))
-    slices = [entries.where(F.pmod(F.xxhash64("t"), F.lit(PASSES)) == k) for k in range(PASSES)]
-    matched = _verified(lines, _union([staged(_first_pairs(x), "pairs") for x in slices]).distinct())
-    rest = _verified(lines, _union([staged(_other_pairs(x, matched), "pairs") for x in slices]).distinct())
-    return classes.select("d", "i").join(staged(matched.unionByName(rest), "matched"), ["d", "i"], "left_anti")
+    frequent = classes.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("entries"))
+    frequent = staged(frequent.where(F.col("entries") > FEW), "frequent")
+    hottest = frequent.agg(F.max("entries").alias("most")).first()["most"]
+    matched = [_matched_by_few(lines, entries, frequent)]
+    if hottest:
+        matched = _matched_in_rounds(lines, entries, frequent, hottest, matched[0])
+    return classes.select("d", "i").join(_union(matched), ["d", "i"], "left_anti")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
@@ -159,9 +194,10 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("d"), text)
     rows = texts.join(stay, "d", "left").withColumn("lines", F.split("text", "\n"))
     none = F.expr("cast(array() as array<int>)")
-    rows = rows.withColumn("stay", F.coalesce("stay", none))
-    kept = F.filter("lines", lambda line, i: F.array_contains("stay", i) | ~F.regexp_like(line, F.lit(FILLED)))
-    rows = rows.withColumn("kept", kept)
+    blank = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~F.regexp_like(F.get("lines", i), F.lit(FILLED)))
+    # line numbers in order; other rows with this doc_id may have more lines
+    stay = F.filter(F.array_union(F.coalesce("stay", none), blank), lambda i: i < F.size("lines"))
+    rows = rows.withColumn("kept", F.when(F.col("lines").isNotNull(), F.transform(F.sort_array(stay), lambda i: F.get("lines", i))))
     size = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("bigint")
     gone = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("bigint")
     return rows.select("doc_id", F.array_join("kept", "\n").alias("text"), size.alias("n_lines"), gone.alias("n_removed"))
