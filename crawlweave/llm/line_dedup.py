@@ -16,8 +16,8 @@ differ in at least as many words as bits. What is left is verified on the words
 
 Defined results: a null text has no lines, an empty one has one blank line; lines without words stay; order is doc_id
 (null last), then line number; rows with one doc_id count as one document and share their line numbers (one stays in all of
-them or in none), so equal rows have equal results; very long lines are sets like any others; an empty table gives an empty result. Only doc_id and text are read. Equal sets are told
-by two 64-bit hashes, words by one.
+them or in none), so equal rows have equal results; very long lines are sets like any others; an empty table gives an empty
+result. Only doc_id and text are read. Equal sets are told by two 64-bit hashes, words by one.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crawlweave.llm.staging import staged
 
@@ -40,10 +40,14 @@ FILLED = r"[^\x20\x09-\x0D]"
 _LAST = (1 << 63) - 1
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    d = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("d")
+    return docs.select(d, F.split(F.col("text").cast("string"), "\n").alias("lines"))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """d, i, line: every line of every text."""
-    d = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("d")
-    return docs.select(d, F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("i", "line"))
+    return _texts(docs).select("d", F.posexplode("lines").alias("i", "line"))
 
 
 def pieces_of(line: Column) -> Column:
@@ -103,14 +107,20 @@ def _possible(a: str, b: str) -> Column:
     return (need <= room) & (need <= most) & (differ <= n + m - 2 * need)
 
 
-def _sets(lines: DataFrame, places: DataFrame) -> DataFrame:
-    """d, i, words of the lines at distinct places."""
-    sets = lines.join(places, ["d", "i"], "left_semi").groupBy("d", "i").agg(F.min("line").alias("line"))
+def _sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """d, i, words of the lines at distinct places; only these leave their texts."""
+    wanted = places.groupBy("d").agg(F.collect_list("i").alias("wanted"))
+    there = F.filter("wanted", lambda i: i < F.size("lines"))
+    picked = F.transform(there, lambda i: F.struct(i.alias("i"), F.get("lines", i).alias("line")))
+    sets = _texts(docs).join(wanted, "d").select("d", F.inline(picked)).groupBy("d", "i").agg(F.min("line").alias("line"))
     return sets.select("d", "i", words_of(F.col("line")).alias("words"))
 
 
-def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The distinct d, i of pairs (d, i) - (d2, i2) that are similar, seen on their words."""
+    ends = pairs.select("d", "i").unionByName(pairs.select(F.col("d2").alias("d"), F.col("i2").alias("i"))).distinct()
+    # written first: the size of a small table is known when the join with the texts is planned
+    sets = staged(_sets(docs, staged(ends, "ends")), "sets")
     other = sets.select(F.col("d").alias("d2"), F.col("i").alias("i2"), F.col("words").alias("words2"))
     joined = pairs.join(sets, ["d", "i"]).join(other, ["d2", "i2"])
     both = F.size(F.array_intersect("words", "words2"))
@@ -128,31 +138,26 @@ def _pairs(late: DataFrame, early: DataFrame) -> DataFrame:
     return joined.select("a.d", "a.i", F.col("b.d").alias("d2"), F.col("b.i").alias("i2")).distinct()
 
 
-def _matched_by_few(lines: DataFrame, entries: DataFrame, frequent: DataFrame) -> DataFrame:
+def _matched_by_few(docs: DataFrame, entries: DataFrame, frequent: DataFrame) -> DataFrame:
     """d, i of classes that resemble an earlier one with which they share a word of at most `FEW` entries."""
     few, found = entries.join(frequent, "t", "left_anti"), []
     for k in range(PASSES):
         part = few.where(F.pmod(F.xxhash64("t"), F.lit(PASSES)) == k)
         # both sides are one and the same shuffle
         found.append(staged(_pairs(part, part), "pairs"))
-    pairs = _union(found).distinct()
-    ends = pairs.select("d", "i").unionByName(pairs.select(F.col("d2").alias("d"), F.col("i2").alias("i"))).distinct()
-    return _verified(staged(_sets(lines, ends), "sets"), pairs)
+    return _verified(docs, _union(found).distinct())
 
 
-def _matched_in_rounds(lines: DataFrame, entries: DataFrame, frequent: DataFrame, hottest: int, matched: DataFrame) -> list[DataFrame]:
+def _matched_in_rounds(docs: DataFrame, entries: DataFrame, frequent: DataFrame, hottest: int, matched: DataFrame) -> list[DataFrame]:
     """d, i of further classes, those that share a word of more than `FEW` entries with an earlier one they resemble."""
-    many = staged(entries.join(frequent, "t"), "frequent_entries")
-    sets = staged(_sets(lines, many.select("d", "i").distinct()), "sets")
-    found, share = [matched], 1
+    many, found, share = staged(entries.join(frequent, "t"), "frequent_entries"), [matched], 1
     while FEW * share * 4 <= hottest:
         share *= 4
     while share:
         # words that are too rare for this share wait for a larger one
         some = many.where(F.col("entries") >= FEW * share)
         late = some.join(_union(found), ["d", "i"], "left_anti")
-        pairs = staged(_pairs(late, some.where(F.pmod(F.xxhash64("d", "i"), F.lit(share)) == 0)), "pairs")
-        found.append(_verified(sets, pairs))
+        found.append(_verified(docs, staged(_pairs(late, some.where(F.pmod(F.xxhash64("d", "i"), F.lit(share)) == 0)), "pairs")))
         share //= 4
     return found
 
@@ -175,9 +180,9 @@ def kept_classes(docs: DataFrame) -> DataFrame:
     frequent = classes.select(F.explode("prefix").alias("t")).groupBy("t").agg(F.count("*").alias("entries"))
     frequent = staged(frequent.where(F.col("entries") > FEW), "frequent")
     hottest = frequent.agg(F.max("entries").alias("most")).first()["most"]
-    matched = [_matched_by_few(lines, entries, frequent)]
+    matched = [_matched_by_few(docs, entries, frequent)]
     if hottest:
-        matched = _matched_in_rounds(lines, entries, frequent, hottest, matched[0])
+        matched = _matched_in_rounds(docs, entries, frequent, hottest, matched[0])
     return classes.select("d", "i").join(_union(matched), ["d", "i"], "left_anti")
 
 
