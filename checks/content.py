@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from checks.inputs import HOST_OF, oracle, table
-from crawlweave.functions.html import BLOCK_TAGS, ENTITIES, decode_entities
+from crawlweave.functions.html import BLOCK_TAGS, decode_entities
 from crawlweave.functions.urls import filename_from_url
 from crawlweave.operators import extract, markdown
 
@@ -29,7 +31,7 @@ QUERIES = {
     "content_blocks": lambda s, d: extract.content_blocks(extract.page_blocks(extract.page_tokens(table(s, d, "pages")))),
     "host_boilerplate": lambda s, d: extract.host_boilerplate(_hosted_blocks(s, d), 2, 10),
     "decode_entities": lambda s, d: table(s, d, "rich_pages").select(
-        "page_id", decode_entities(F.concat("html", F.lit(" &#38;lt; &amp;lt; &#xD800; &#0; &nbsp;&hellip; &#128512;"))).alias("text")),
+        "page_id", decode_entities(F.concat("html", F.lit(" &#38;lt; &amp;lt; &#xD800; &#0; &nbsp;&hellip; &Eacute;&alpha;&ensp;&NotEqualTilde; &#128512;"))).alias("text")),
     "to_markdown": lambda s, d: markdown.to_markdown(extract.main_region(table(s, d, "rich_pages"))),
     "extract_pages": lambda s, d: extract.extract_pages(table(s, d, "region_pages")).withColumn("images", F.size("images").cast("bigint")),
     "raw_content": lambda s, d: extract.raw_content(
@@ -103,7 +105,7 @@ def text_words(x: str) -> str:
 
 
 def decode(x: str) -> str:
-    names = ", ".join(f"'&{n};': chr({p})" for n, p in {**ENTITIES, "amp": 38}.items())
+    names = ", ".join(f"'&{n}': " + " || ".join(f"chr({ord(c)})" for c in text) for n, text in html5.items() if n.endswith(";"))
     point = ("case when lower(substr(p, 3, 1)) = 'x' then try_cast('0x' || substr(p, 4, length(p) - 4) as int) "
              "else try_cast(substr(p, 3, length(p) - 3) as int) end")
     return (f"array_to_string(list_transform(regexp_extract_all({x}, {q(ENTITY_PIECE)}), lambda p: "
@@ -329,7 +331,7 @@ ORACLES = {
             (select host, count(distinct page_id) as total from hb group by all) using (host) where n >= 2 and n * 100 >= total * 10)""",
         [*page_tokens_sql("pages"), *BLOCKS_SQL,
          ("hb", f"select page_id, block_no, text, host from blocks join (select page_id, {HOST_OF} as host from pages) using (page_id)")]),
-    "decode_entities": oracle(["rich_pages"], f"""select page_id, {decode("html || ' &#38;lt; &amp;lt; &#xD800; &#0; &nbsp;&hellip; &#128512;'")} as text from rich_pages"""),
+    "decode_entities": oracle(["rich_pages"], f"""select page_id, {decode("html || ' &#38;lt; &amp;lt; &#xD800; &#0; &nbsp;&hellip; &Eacute;&alpha;&ensp;&NotEqualTilde; &#128512;'")} as text from rich_pages"""),
     "to_markdown": oracle(["rich_pages"], "select * from md", [*region_sql("rich_pages"), *markdown_sql("region")]),
     "extract_pages": oracle(["region_pages"], f"""select page_id, url, title, content, len(l) as images, source_rule, error_code, markdown
         from ia join md using (page_id) join (select page_id, url, {title_sql('html')} as title from region_pages) using (page_id)""",

@@ -5,6 +5,8 @@ No look-around, no back-references, explicit white space. Cutting into tokens ta
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,17 +26,9 @@ BLOCK_TAGS = [
     "summary", "table", "tbody", "td", "textarea", "tfoot", "th", "thead", "title", "tr", "ul",
 ]
 
-# Named entities and their code points, besides "amp".
-ENTITIES = {
-    "lt": 60, "gt": 62, "quot": 34, "apos": 39, "nbsp": 160, "iexcl": 161, "cent": 162, "pound": 163, "yen": 165,
-    "sect": 167, "copy": 169, "laquo": 171, "reg": 174, "deg": 176, "plusmn": 177, "para": 182, "middot": 183,
-    "raquo": 187, "frac12": 189, "iquest": 191, "times": 215, "szlig": 223, "auml": 228, "ouml": 246, "uuml": 252,
-    "Auml": 196, "Ouml": 214, "Uuml": 220, "agrave": 224, "aacute": 225, "acirc": 226, "ccedil": 231, "egrave": 232,
-    "eacute": 233, "ecirc": 234, "iacute": 237, "ntilde": 241, "oacute": 243, "uacute": 250, "ndash": 8211,
-    "mdash": 8212, "lsquo": 8216, "rsquo": 8217, "sbquo": 8218, "ldquo": 8220, "rdquo": 8221, "bdquo": 8222,
-    "bull": 8226, "hellip": 8230, "prime": 8242, "lsaquo": 8249, "rsaquo": 8250, "euro": 8364, "trade": 8482,
-    "larr": 8592, "rarr": 8594, "minus": 8722,
-}
+# The named entities of HTML that end in a semicolon, with their characters. A look-up in a map tries the names in turn, so
+# the short ones, which pages hold most, come first.
+ENTITIES = dict(sorted(((n[:-1], text) for n, text in html5.items() if n.endswith(";")), key=lambda x: (len(x[0]), x[0])))
 
 # attributes with quoted values that may hold ">", any number of them: the possessive group is matched in a loop, not on
 # the matcher's stack, and as a quote can't be passed otherwise it matches what the plain group would
@@ -107,7 +101,7 @@ def _from_code_point(n: Column) -> Column:
 
 def _entity_map() -> Column:
     # a constant, folded once per plan; the two delimiters occur in no entity and no character above
-    pairs = "\x02".join(f"&{name};\x03{chr(point)}" for name, point in {**ENTITIES, "amp": 38}.items())
+    pairs = "\x02".join(f"&{name};\x03{text}" for name, text in ENTITIES.items())
     return F.str_to_map(F.lit(pairs), F.lit("\x02"), F.lit("\x03"))
 
 
@@ -122,7 +116,8 @@ def decode_entities(text: Column) -> Column:
         return (
             F.when(~piece.startswith("&"), piece)
             .when(piece.startswith("&#") & (digits != ""), _from_code_point(point))
-            .otherwise(F.coalesce(F.try_element_at(named, piece), piece))
+            .when(piece.endswith(";"), F.coalesce(F.try_element_at(named, piece), piece))
+            .otherwise(piece)
         )
 
     pieces = F.regexp_extract_all(text, F.lit(ENTITY_PIECE), F.lit(0))

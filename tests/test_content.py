@@ -108,7 +108,8 @@ def test_tokens_give_the_page_again(spark):
 
 def test_entities(column):
     cases = {"&amp;lt; &lt;": "&lt; <", "&#8364;&#x1F600;": "€😀", "&#38;lt;": "&lt;", "&unknown; & &copy;": "&unknown; & ©",
-             "&#xD800;&#0;&#9999999;": "���", "none": "none"}
+             "&#xD800;&#0;&#9999999;": "���", "none": "none",
+             "&Eacute;&alpha;&copy &NotEqualTilde; &;": "Éα&copy ≂̸ &;"}
     assert dict(zip(cases, column(list(cases), decode_entities))) == cases
 
 
