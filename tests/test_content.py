@@ -130,6 +130,12 @@ def test_blocks_and_boilerplate(spark):
     assert sorted(r.text for r in kept) == sorted([f"text {p}" for p in range(6)] + ["text 2"])
 
 
+def test_blocks_of_thousands_of_words(spark):
+    html = f"<p>{'word ' * 3000}</p><p><a href=/>{'link ' * 2500}</a></p><p>{'after ' * 17}</p><p>{'end ' * 41}</p>"
+    blocks = extract.content_blocks(extract.page_blocks(extract.page_tokens(pages(spark, html)))).orderBy("block_no").collect()
+    assert [(b.n_words, b.n_link_words, b.is_content) for b in blocks] == [(3000, 0, True), (2500, 2500, False), (17, 0, True), (41, 0, True)]
+
+
 def test_image_addresses(spark):
     df = spark.createDataFrame([(r, "https://example.com/dir/page?x=1") for r in
                                 ["https://o.org/a.png", "/top.webp", "near.webp", "./a/b.png", "//cdn.x/y.gif", "?v=2", "data:image/png;base64,A", "../up.png", "a/../../../b.png?x=../y", "/a/./b/..", "#f"]],
