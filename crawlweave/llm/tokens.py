@@ -7,7 +7,8 @@ entry: lengths are added up from the last clean cut. The decoded bytes of all to
 A text is a blank and then its units: runs between blanks that stand between two characters other than white space. Neither
 kind of tokenizer joins anything across such a cut, which is read from their files (A splits words by its own pattern, no piece
 of B has a blank behind another character) and asserted for each run of units; where it doesn't hold a whole text is one unit.
-So units met before are taken from a bounded cache, and the others of a batch are tokenized together in one run.
+So units met before are taken from a bounded cache, and the others of a batch are tokenized together in one run, but for those
+with white space at an end of their text, which are tokenized alone.
 
 Three steps: texts are aligned and written with their distinct id pairs; pairs are counted over all documents by a grouped sum;
 the counts are looked up. The look-up table is sent to the tasks in passes of at most `max_pairs` pairs, so its size is bounded
@@ -168,6 +169,10 @@ class Aligner:
             if found != 0:
                 young[u] = found
                 continue
+            if len(u.strip()) < len(u):
+                # at an end of its text; beside others the blank between them would be joined to its white space
+                self._aligned_run([u], more)
+                continue
             run.append(u)
             size += len(u) + 1
             if size > RUN or not self.cuts:

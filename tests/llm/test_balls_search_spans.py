@@ -156,6 +156,14 @@ def test_units_align_as_whole_texts(aligner, monkeypatch):
     assert wanted[0] is None and sum(w is None for w in wanted) < 8
 
 
+def test_units_with_white_space_at_an_end_are_not_joined_with_others():
+    texts = [f"{before}w{k}{behind}" for k, (before, behind) in enumerate([("", "  "), ("  ", ""), ("", "\n"), ("\t ", " "), ("", "\u3000")] * 4)] + [" ", "  ", "\n ", "好", "🧿", "12", "word"]
+    own = tokens.Aligner(tokens.BYTE_BPE, tokens.PIECES)
+    for found, w in zip(own.texts(texts), plain(own, texts), strict=True):
+        n_a, n_b, groups, links, ends = w
+        assert found[:4] == (n_a, n_b, len(groups), len(links)) and found[7] == ";".join(groups) and found[8].tolist() == ends
+
+
 def test_spans_inside_characters_are_refined(aligner):
     run = " 😀é\U0001f9ff"
     a, ends_a, b, ends_b = aligner.spans(run)
