@@ -40,7 +40,7 @@ from crawlweave.llm.staging import staged
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units of a worker's cache, in two halves: the older half goes when the newer is full.
-CACHE = 240_000
+CACHE = 480_000
 #: Units longer than this are not kept.
 LONGEST_KEPT = 64
 #: Characters tokenized in one run, and of a text in one piece.
@@ -102,7 +102,7 @@ class Aligner:
         data = run.encode("utf-8", "surrogatepass")
         coded, pieces = self.a.encode(run, add_special_tokens=False), self.b.encode(run[1:], return_type="offset_mapping", return_bytes=True)
         a, b = coded.ids, pieces["ids"]
-        if b"".join([self.bytes_a[i] for i in a]) != data or b"".join([self.bytes_b[i] for i in b]) != data:
+        if b"".join(map(self.bytes_a.__getitem__, a)) != data or b"".join(map(self.bytes_b.__getitem__, b)) != data:
             return None
         a, b = np.array(a, np.int64), np.array(b, np.int64)
         spans = np.fromiter(chain.from_iterable(coded.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
