@@ -6,10 +6,13 @@
 2. Equal sets become one class. Two sets with Jaccard >= 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, so
    classes that share no such prefix shingle, directly or over others, can't link: they fall into separate blocks. Sets
    that share one are chained by size, and a chain breaks where the next size is out of reach.
-3. In a block the sets, commonest shingle first, are put one by one into a compressed trie. Before a set goes in, it walks the
-   trie: sets below a node share the overlap counted down to it, and a subtree is left when its size bounds or the
-   overlap still possible rule a link out, or when all of it is already connected with the walking set.
-4. A block with more shingles than a task should hold is cut into parts. Parts are joined alone, together with a few
+3. A block with more shingles than a task should hold is split: a link's sets also share two shingles that are neighbours
+   in the order of both, among the first 0.4 n + 1 such pairs of each, and are chained over those.
+4. In a block the sets, commonest shingle first, are put one by one into compressed tries, one or more for each component.
+   Before a set goes in, it walks the tries of those other components that have one of its prefix shingles in a prefix: sets
+   below a node share the overlap counted down to it, and a subtree is left when its size bounds or the overlap still
+   possible rule a link out; the first link ends the walk. Shingles that no other set of the task has are in no trie.
+5. A block that is still too large is cut into parts. Parts are joined alone, together with a few
    common sets of the block that tie them up; then every two parts which aren't wholly in one component meet once.
 
 A link is dropped nowhere: only pairs already connected are skipped, so components are exact (equality of shingles is
@@ -42,6 +45,7 @@ SMALL = 1_000_000
 #: Shingles that one task holds at a time (8 bytes each, and as much again for the trie); ties added per part.
 PART, TIES = 2_000_000, 32
 _U = np.uint64
+_NONE = np.empty(0, np.int64)
 
 
 def shingle_sets(column, size: int = SIZE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -145,33 +149,37 @@ def set_keys(counts, size: int = SIZE, choose=None):
 
 
 class Trie:
-    """A compressed trie of ascending int arrays; every node knows the sizes below it and one member, for its component."""
+    """Compressed tries of ascending int arrays, each with a root of its own; every node knows bounds of what lies below it.
 
-    __slots__ = ("labels", "children", "low", "high", "member", "leaves")
+    These are the least and the greatest size of a set and the longest array; a set may be larger than its array.
+    """
+
+    __slots__ = ("labels", "children", "low", "high", "longest", "leaves")
 
     def __init__(self):
-        self.labels: list[np.ndarray] = [np.empty(0, np.int64)]
-        self.children: list[dict[int, int]] = [{}]
-        self.low, self.high = [1 << 60], [0]
-        self.member: list[int] = [-1]  # all sets below are connected with this one; -1: not known to be
-        self.leaves: list[list[int]] = [[]]
+        self.labels: list[np.ndarray] = []
+        self.children: list[dict[int, int]] = []
+        self.low, self.high, self.longest = [], [], []
+        self.leaves: list[list[int]] = []
+
+    def root(self) -> int:
+        return self._node(_NONE, 1 << 60, 0, 0)
 
-    def _node(self, label, member: int, size: int) -> int:
+    def _node(self, label, low: int, high: int, longest: int) -> int:
         self.labels.append(label)
         self.children.append({})
-        self.low.append(size)
-        self.high.append(size)
-        self.member.append(member)
+        self.low.append(low)
+        self.high.append(high)
+        self.longest.append(longest)
         self.leaves.append([])
         return len(self.labels) - 1
 
-    def insert(self, values: np.ndarray, number: int, find) -> None:
-        node, at, size = 0, 0, len(values)
-        self._pass(node, number, size, find)
+    def insert(self, root: int, values: np.ndarray, number: int, n: int) -> None:
+        node, at, size = root, 0, len(values)
         while at < size:
             child = self.children[node].get(int(values[at]))
             if child is None:
-                child = self._node(values[at:], number, size)
+                child = self._node(values[at:], n, n, size)
                 self.children[node][int(values[at])] = child
                 self.leaves[child].append(number)
                 return
@@ -180,26 +188,42 @@ class Trie:
             differ = np.flatnonzero(label[:m] != values[at : at + m])
             same = int(differ[0]) if len(differ) else m
             if same < len(label):  # split the edge
-                middle = self._node(label[:same], self.member[child], self.low[child])
-                self.high[middle] = self.high[child]
+                middle = self._node(label[:same], self.low[child], self.high[child], self.longest[child])
                 self.children[middle][int(label[same])] = child
                 self.labels[child] = label[same:]
                 self.children[node][int(values[at])] = middle
                 child = middle
-            self._pass(child, number, size, find)
+            self.low[child], self.high[child] = min(self.low[child], n), max(self.high[child], n)
+            self.longest[child] = max(self.longest[child], size)
             node, at = child, at + same
         self.leaves[node].append(number)
 
-    def _pass(self, node: int, number: int, size: int, find) -> None:
-        self.low[node], self.high[node] = min(self.low[node], size), max(self.high[node], size)
-        if node and self.member[node] >= 0 and find(self.member[node]) != find(number):
-            self.member[node] = -1
+    def similar(self, root: int, values: np.ndarray, n: int, mark: np.ndarray, sizes: list[int]) -> int | None:
+        """A set below root with Jaccard >= OVER/UNDER to the set of n with these values, which are marked."""
+        reach = -(-OVER * n // UNDER)
+        stack = [(c, 0, 0) for c in self.children[root].values()]
+        while stack:
+            node, depth, overlap = stack.pop()
+            if self.high[node] < reach:  # every set below is too small
+                continue
+            label = self.labels[node]
+            depth, overlap = depth + len(label), overlap + int(np.count_nonzero(mark[label]))
+            rest = min(len(values) - int(np.searchsorted(values, label[-1], "right")), self.longest[node] - depth)
+            if (overlap + rest) * (OVER + UNDER) < OVER * (n + max(self.low[node], reach)):
+                continue
+            for other in self.leaves[node]:
+                if overlap * (OVER + UNDER) >= OVER * (n + sizes[other]):
+                    return other
+            stack += [(c, depth, overlap) for c in self.children[node].values()]
+        return None
 
 
 def trie_links(sets: list[np.ndarray], groups: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect the sets just as all pairs with Jaccard >= OVER/UNDER would, given that equal groups are connected.
 
-    Sets hold distinct values in the global order's ranks; they are taken from small to large.
+    Sets hold distinct values in the global order's ranks; they are taken from small to large. Values that one set alone has
+    count as the rarest and are in no trie. A trie holds sets that are connected, and a walk ends at the first link. A
+    component's tries are walked only if it has a value of the walking set's prefix in the prefix of one of its sets.
     """
     parent = list(range(len(sets)))
 
@@ -212,39 +236,52 @@ def trie_links(sets: list[np.ndarray], groups: list[int] | None = None) -> list[
     first: dict[int, int] = {}
     for k, g in enumerate(groups or []):
         parent[find(k)] = find(first.setdefault(g, k))
+    sizes = [len(s) for s in sets]
+    order = sorted((k for k, n in enumerate(sizes) if n), key=sizes.__getitem__)
+    if not order:
+        return []
+    often = np.bincount(np.concatenate(sets)) > 1
+    mark = np.zeros(len(often), bool)
     trie, links = Trie(), []
-    mark = np.zeros(1 + max((int(s[-1]) for s in sets if len(s)), default=0), bool)
-    for number in sorted(range(len(sets)), key=lambda k: len(sets[k])):
-        own = sets[number]
-        n = len(own)
-        if not n:
-            continue
-        mark[own] = True
-        stack = [(c, 0, 0) for c in trie.children[0].values()]
-        while stack:
-            node, depth, overlap = stack.pop()
-            if trie.member[node] >= 0 and find(trie.member[node]) == find(number):
-                continue
-            if trie.high[node] * UNDER < OVER * n:  # every set below is too small
-                continue
-            label = trie.labels[node]
-            depth, overlap = depth + len(label), overlap + int(np.count_nonzero(mark[label]))
-            rest = min(n - int(np.searchsorted(own, label[-1], "right")), trie.high[node] - depth)
-            least = max(trie.low[node], -(-OVER * n // UNDER))
-            if (overlap + rest) * (OVER + UNDER) < OVER * (n + least):
-                continue
-            for other in trie.leaves[node]:
-                if find(other) != find(number) and overlap * (OVER + UNDER) >= OVER * (n + depth):
-                    parent[find(other)] = find(number)
-                    links.append((other, number))
-            stack += [(c, depth, overlap) for c in trie.children[node].values()]
-            below = [trie.member[c] for c in trie.children[node].values()]
-            if trie.member[node] < 0 and below and min(below) >= 0:
-                roots = {find(m) for m in below + trie.leaves[node]}
-                if len(roots) == 1:
-                    trie.member[node] = below[0]
-        mark[own] = False
-        trie.insert(own, number, find)
+    roots: dict[int, list[int]] = {}  # of a component's tries, by its root in `parent`
+    index: dict[int, list[int]] = {}  # the components that have a value in a prefix, under a root they have or had
+    for number in order:
+        n, own = sizes[number], sets[number]
+        own = own[often[own]]
+        # a smaller or equal set shares `least` values at least, and one of the rarest n - least + 1
+        least = -(-OVER * (n + max(sizes[order[0]], -(-OVER * n // UNDER))) // (OVER + UNDER))
+        near = set()
+        for value in own[least - 1 :].tolist():
+            held = index.get(value)
+            if held:
+                now = {find(r) for r in held}
+                if len(now) < len(held):
+                    index[value] = list(now)
+                near |= now
+        mine = find(number)
+        near.discard(mine)
+        if near:
+            mark[own] = True
+            for other in near:
+                for root in roots[other]:
+                    link = trie.similar(root, own, n, mark, sizes)
+                    if link is not None:
+                        links.append((link, number))
+                        parent[mine] = other
+                        roots[other] += roots.pop(mine, [])
+                        mine = other
+                        break
+            mark[own] = False
+        # with a larger or equal set it shares 2 * OVER / (OVER + UNDER) of its own at least
+        prefix = own[-(-2 * OVER * n // (OVER + UNDER)) - 1 :].tolist()
+        if prefix:
+            if mine not in roots:
+                roots[mine] = [trie.root()]
+            trie.insert(roots[mine][0], own, number, n)
+            for value in prefix:
+                held = index.setdefault(value, [])
+                if not held or held[-1] != mine:
+                    held.append(mine)
     return links
 
 
@@ -260,9 +297,9 @@ def _join_part(counts):
         _, kept = np.unique(np.stack([s1, s2]), axis=1, return_index=True)  # a tie may be there twice
         lists = part["shingles"].combine_chunks()
         values, offsets = lists.values.to_numpy().view(_U), lists.offsets.to_numpy()
-        distinct, where = np.unique(values, return_inverse=True)
-        rank = np.empty(len(distinct), np.int64)  # commonest first
-        rank[np.lexsort((distinct, counts.value[_bucket(distinct)]))[::-1]] = np.arange(len(distinct))
+        distinct, where, here = np.unique(values, return_inverse=True, return_counts=True)
+        rank = np.empty(len(distinct), np.int64)  # commonest of the part first
+        rank[np.lexsort((distinct, counts.value[_bucket(distinct)], here))[::-1]] = np.arange(len(distinct))
         ranks = rank[where]
         sets = [np.sort(ranks[offsets[k] : offsets[k + 1]]) for k in kept]
         groups = None
@@ -289,12 +326,37 @@ def _chained(fronts: DataFrame) -> DataFrame:
     own = Window.partitionBy("s1")
     mine = F.sum(F.when(~F.col("other"), 1).otherwise(0)).over(own)
     place = F.row_number().over(own.orderBy("other", "c", "t")) + F.col("fronts") - mine
-    inside = shared.withColumn("place", place).where(F.col("other") | (F.col("place") <= prefix)).select("t", "s1", "n")
+    return _next_smaller(shared.withColumn("place", place).where(F.col("other") | (F.col("place") <= prefix)).select("t", "s1", "n"))
+
+
+def _next_smaller(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) between s1 of classes with the same t: each with the next smaller one, if that is in reach."""
     by_size = Window.partitionBy("t").orderBy("n", "s1")
-    pairs = inside.select("s1", "n", F.lag("s1").over(by_size).alias("b"), F.lag("n").over(by_size).alias("m"))
+    pairs = rows.select("s1", "n", F.lag("s1").over(by_size).alias("b"), F.lag("n").over(by_size).alias("m"))
     return pairs.where(f"b is not null and {UNDER} * m >= {OVER} * n").select(F.col("s1").alias("a"), "b")
 
 
+def _apart(sets: DataFrame, part: int) -> DataFrame:
+    """The sets with blocks of more than `part` shingles split; sets that then have no other to meet are left out.
+
+    In the global order a set A has windows of two neighbouring shingles. Each of the x shingles that B lacks spoils two at
+    most, each of the y that only B has spoils one, and 2x + y <= 2 (1 - OVER/UNDER) n where A and B link, whichever is larger.
+    So a window among that many and one more of the first is in both, among as many of the first ones of the other.
+    Unlike sets seldom share two rare shingles with none of their own between, so what chance joined into blocks falls apart.
+    """
+    large = sets.groupBy("block").agg(F.sum("n").alias("w")).where(F.col("w") > part).select("block")
+    large = staged(large, "large")
+    if large.isEmpty():
+        return sets
+    crowd = sets.join(large, "block", "left_semi")
+    # no two sets below four shingles link, unless they are equal
+    rows = crowd.where("n > 3").select("s1", "n", F.explode(F.expr(f"transform(sequence(0, int(n * {2 * (UNDER - OVER)} div {UNDER})), i -> xxhash64(shingles[i], shingles[i + 1]))")).alias("t"))
+    split = components(_next_smaller(rows)).select(F.col("node").alias("s1"), "root")
+    both = sets.join(large.withColumn("large", F.lit(True)), "block", "left").join(split, "s1", "left")
+    kept = both.where("large is null or root is not null").withColumn("block", F.coalesce("root", "block"))
+    return staged(kept.select(*sets.columns), "splitsets")
+
+
 def shingle_components(docs: DataFrame, size: int = SIZE, part: int = PART) -> tuple[DataFrame, DataFrame, object]:
     """(rows, labels, counts): rows doc_id, th (hash of the text), s1, s2, n; labels node, root for the classes that have links."""
     spark = docs.sparkSession
@@ -311,7 +373,7 @@ def shingle_components(docs: DataFrame, size: int = SIZE, part: int = PART) -> t
     pick = staged(rows.join(blocks, "s1", "left_semi").groupBy("s1", "s2").agg(F.min("th").alias("th")).select("th").distinct(), "picked")
     again = texts.join(F.broadcast(pick) if pick.count() <= SMALL else pick, "th", "left_semi").select("text")
     sets = distinct(again.mapInArrow(released(set_keys(counts, size, _whole)), lists)).drop("fronts")
-    sets = staged(sets.join(blocks, "s1"), "blocksets")
+    sets = _apart(staged(sets.join(blocks, "s1"), "blocksets"), part)
     parts = sets.groupBy("block").agg(F.ceil(F.sum("n") / part).alias("parts"), F.count("*").alias("members"))
     cut = sets.join(parts, "block").withColumn("draw", F.pmod(F.xxhash64("s1", "s2"), F.lit(1 << 40)))
     dealt = cut.withColumn("part", F.explode(F.when((F.col("parts") > 1) & (F.col("draw") % F.col("members") < TIES), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.col("draw") % F.col("parts")))))
