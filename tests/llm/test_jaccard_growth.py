@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from crawlweave.llm import jaccard_trie
 from tests.llm import brute
 
@@ -98,3 +99,16 @@ def test_large_blocks_keep_their_links(spark, monkeypatch, part):
     monkeypatch.setattr(jaccard_trie.shingle_components, "__defaults__", (jaccard_trie.SIZE, part))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(map(tuple, jaccard_trie.component_report(docs).collect())) == sorted(map(tuple, brute.components(rows)))
+
+
+def test_pipeline_keeps_one_text_of_each_component(spark, monkeypatch):
+    """Its second stage on texts that share phrases, most of them in one block over single shingles."""
+    rnd = random.Random(7)
+    phrases = 2 * [" ".join(f"p{k}w{i}" for i in range(10)) for k in range(300)]
+    rnd.shuffle(phrases)
+    rows = [(k, " ".join(phrases[5 * k : 5 * k + 5])) for k in range(120)]
+    rows += [(1000 + k, text + " more") for k, text in rows[::9]] + [(2000, None), (2001, None)]
+    monkeypatch.setattr(jaccard_trie.shingle_components, "__defaults__", (jaccard_trie.SIZE, 1500))
+    monkeypatch.setattr(jaccard_trie, "_between_parts", lambda *args: pytest.fail("parts of a large block met"))
+    kept = corpus_pipeline.join_near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(120), 2000, 2001]
