@@ -189,7 +189,7 @@ def likeness(a, b):
     return len(set(both) & set(a) & set(b)) / len(both)
 
 
-def fingerprint(text):
+def simhash(text):
     words = GAP.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)] * bool(words)
     hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
@@ -214,7 +214,7 @@ def linked_fingerprints(fps, radius=3):
 
 def simhash_components(rows):
     """[(id, fingerprint in hex, component id)]"""
-    fps = [fingerprint(r[1]) for r in rows]
+    fps = [simhash(r[1]) for r in rows]
     root = linked_fingerprints(fps)
     least = {}
     for r, f in zip(rows, fps):
